@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started."""
+    home = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+
+
 def _remove() -> None:
     for spark, path in _OWN:
         try:
