@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lemmary.llm.leakage import leaked_items
 from lemmary.llm.mixing import mix_sources
 from lemmary.sources.tables import table
 
 
+def p7_leaked_items(spark: SparkSession, base: str) -> DataFrame:
+    """Documents that repeat a passage of an eval item, and the words repeated."""
+    return leaked_items(table(spark, base, "documents"), table(spark, base, "eval_item"))
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return p7_leaked_items(spark, base).select("doc_id", "item_id")
+
+
 def _mixture(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     return mix_sources(table(spark, base, "documents"), table(spark, base, "mix_target"))
 
@@ -27,7 +37,7 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return _mixture(spark, base)[1].where("short").select("source")
 
 
-QUERIES = {"p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+QUERIES = {"p7_found": p7_found, "p7_leaked_items": p7_leaked_items, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 
 #: No SQL tokenizer: which sources fall short is checked with characters as the size.
 ORACLE = {
