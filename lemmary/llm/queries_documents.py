@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lemmary.llm.leakage import leaked_items
 from lemmary.llm.mixing import mix_sources
+from lemmary.llm.truncation import truncated_texts
 from lemmary.sources.tables import table
 
 
@@ -37,7 +38,21 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return _mixture(spark, base)[1].where("short").select("source")
 
 
-QUERIES = {"p7_found": p7_found, "p7_leaked_items": p7_leaked_items, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+def p9_truncated(spark: SparkSession, base: str) -> DataFrame:
+    """Every document that breaks off, with the reason and the limit it stands at."""
+    return truncated_texts(table(spark, base, "documents"))[0]
+
+
+def p9_sources(spark: SparkSession, base: str) -> DataFrame:
+    """The share of broken documents of each source, and its exposed limit."""
+    return truncated_texts(table(spark, base, "documents"))[1]
+
+
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    return p9_truncated(spark, base).select("doc_id")
+
+
+QUERIES = {"p9_found": p9_found, "p9_truncated": p9_truncated, "p9_sources": p9_sources, "p7_found": p7_found, "p7_leaked_items": p7_leaked_items, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 
 #: No SQL tokenizer: which sources fall short is checked with characters as the size.
 ORACLE = {
