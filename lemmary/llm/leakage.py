@@ -20,12 +20,12 @@ from __future__ import annotations
 
 import html
 import re
-import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ from lemmary.functions.arrow import chunks, ints
 from lemmary.runtime import is_small, materialise, maybe_broadcast
 
 _TAG = re.compile(r"</?[A-Za-z!?][^<>]*>")
-_MARKS = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Mn", "Me", "Cf")) + "\xad]+")
+_MARKS = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}]+")
 _WORD = re.compile(r"[^\W_]+")
 _LEAD = re.compile(r"[^.:!?…]*[.:!?…]+")
 
