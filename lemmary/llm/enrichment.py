@@ -92,10 +92,15 @@ def adjust(scored: DataFrame) -> DataFrame:
     no task sees them all.
     """
     by_p = materialise(scored.groupBy("ln_p").agg(F.count("*").alias("n")), "tails")
-    cuts = by_p.select(F.percentile_approx("ln_p", [i / BINS for i in range(1, BINS)], 10_000).alias("c")).first().c or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    binned = by_p.withColumn("bin", F.size(F.filter(bounds, lambda c: c < F.col("ln_p"))))
+    quantiles = by_p.select(F.percentile_approx("ln_p", [i / BINS for i in range(1, BINS)], 100 * BINS).alias("c")).first().c or []
+    cuts = np.unique(quantiles)
+
+    def into_bins(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.searchsorted(cuts, b.column(0).to_numpy(zero_copy_only=False), side="left")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], names=["ln_p", "n", "bin"])
+
+    binned = by_p.mapInArrow(into_bins, "ln_p double, n bigint, bin int")
     lower = binned.groupBy("bin").agg(F.sum("n").alias("k"))
     all_bins = Window.partitionBy(F.lit(0)).orderBy("bin")  # at most BINS rows
     whole = F.sum("k").over(Window.partitionBy(F.lit(0)))
