@@ -32,10 +32,10 @@ CONTAINER = "term string, block bigint, n int, kind tinyint, ids binary, counts
 
 def _containers(code, ids, counts, terms) -> Iterator[pa.RecordBatch]:
     """Containers of one chunk; ``code == len(terms)`` stands for all records."""
-    order = np.lexsort((ids, code))
+    order = np.lexsort((counts, ids, code))
     code, ids, counts = code[order], ids[order], counts[order]
     keep = np.ones(len(code), bool)
-    keep[1:] = (code[1:] != code[:-1]) | (ids[1:] != ids[:-1])
+    keep[:-1] = (code[1:] != code[:-1]) | (ids[1:] != ids[:-1])
     code, ids, counts = code[keep], ids[keep], counts[keep]
     block, low = ids >> BLOCK_BITS, (ids & (BLOCK - 1)).astype(np.uint16)
     first = np.ones(len(code), bool)

@@ -9,6 +9,9 @@ into ranks of the whole group.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,30 +30,30 @@ def top_n(df: DataFrame, group_cols: list[str], order: list[Column], n: int, ran
     All columns are kept; ``rank_col`` replaces one of that name.
     """
     df = df.drop(rank_col)
+    tag = f"__{uuid.uuid4().hex[:8]}_"  # cannot clash with the columns that are kept
+    size, row_id, part, before = (tag + x for x in ("n", "id", "range", "before"))
+    names = [f"{tag}g{i}" for i in range(len(group_cols))]
+    keys = [F.col(c).alias(g) for c, g in zip(group_cols, names, strict=True)]
     ordinary = Window.partitionBy(*group_cols).orderBy(*order)
-    sizes = df.groupBy(*group_cols).agg(F.count("*").alias("__n"))
-    sizes = materialise(sizes, "groups")
-    total = sizes.agg(F.sum("__n")).first()[0] or 0
-    keys = [F.col(c).alias(f"__g{i}") for i, c in enumerate(group_cols)]
-    heavy = sizes.where((F.col("__n") > heavy_rows) & (F.col("__n") * MAX_HEAVY > total)).select(*keys)
+    sizes = materialise(df.groupBy(*keys).agg(F.count("*").alias(size)), "groups")
+    total = sizes.agg(F.sum(size)).first()[0] or 0
+    heavy = sizes.where((F.col(size) > heavy_rows) & (F.col(size) * MAX_HEAVY > total)).select(*names)
     if heavy.isEmpty():
         return df.withColumn(rank_col, F.row_number().over(ordinary)).where(F.col(rank_col) <= n)
     heavy = maybe_broadcast(heavy, MAX_HEAVY)
-    same = F.lit(True)
-    for i, c in enumerate(group_cols):
-        same = same & df[c].eqNullSafe(F.col(f"__g{i}"))
-    light = df.join(heavy, same, "left_anti").withColumn(rank_col, F.row_number().over(ordinary)).where(F.col(rank_col) <= n)
-
-    big = df.join(heavy, same, "left_semi").repartitionByRange(*group_cols, *order).sortWithinPartitions(*group_cols, *order)
-    # id: the range in its upper bits, the position in it below
-    ranged = materialise(big.withColumn("__id", F.monotonically_increasing_id()), "ranges").withColumn("__range", F.shiftright("__id", 33))
-    spans = ranged.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group_cols)], F.col("__range").alias("__r")).agg(F.min("__id").alias("__first"), F.count("*").alias("__k"))
-    names = [f"__g{i}" for i in range(len(group_cols))]
-    before = F.sum("__k").over(Window.partitionBy(*names).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < n)
-    on = F.col("__range") == F.col("__r")
-    for i, c in enumerate(group_cols):
-        on = on & ranged[c].eqNullSafe(F.col(f"__g{i}"))
-    best = ranged.join(maybe_broadcast(spans, 100 * MAX_HEAVY), on)
-    best = best.withColumn(rank_col, (F.col("__id") - F.col("__first") + F.col("__before") + 1).cast("int")).where(F.col(rank_col) <= n)
-    return light.unionByName(best.select(*df.columns, rank_col))
+
+    def same(rows: DataFrame) -> Column:
+        return reduce(lambda a, b: a & b, [rows[c].eqNullSafe(F.col(g)) for c, g in zip(group_cols, names, strict=True)], F.lit(True))
+
+    light = df.join(heavy, same(df), "left_anti").withColumn(rank_col, F.row_number().over(ordinary)).where(F.col(rank_col) <= n)
+
+    big = df.join(heavy, same(df), "left_semi").repartitionByRange(*group_cols, *order).sortWithinPartitions(*group_cols, *order)
+    # the identifier has the range in its upper bits, the position in it below
+    ranged = materialise(big.withColumn(row_id, F.monotonically_increasing_id()), "ranges")
+    number = F.shiftright(F.col(row_id), 33)
+    spans = ranged.groupBy(*keys, number.alias(part)).agg(F.min(row_id).alias(tag + "first"), F.count("*").alias(size))
+    sofar = F.sum(size).over(Window.partitionBy(*names).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn(before, F.coalesce(sofar, F.lit(0))).where(F.col(before) < n)
+    best = ranged.join(maybe_broadcast(spans, 100 * MAX_HEAVY), same(ranged) & (number == F.col(part)))
+    rank = (F.col(row_id) - F.col(tag + "first") + F.col(before) + 1).cast("int")
+    return light.unionByName(best.withColumn(rank_col, rank).where(F.col(rank_col) <= n).select(*df.columns, rank_col))
