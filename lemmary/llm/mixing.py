@@ -137,7 +137,7 @@ def mix_sources(
     plan = wanted.join(by_source, "source", "left").na.fill(0, ["documents", "tokens"])
     all_tokens = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # one row per wanted source
     plan = plan.withColumn("budget", F.col("target_share") * all_tokens)
-    ratio = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0)
+    ratio = F.when(F.col("tokens") > 0, F.floor(F.try_divide("budget", "tokens"))).otherwise(0)
     plan = plan.withColumn("whole", F.least(ratio, F.col("max_repeat").cast("bigint")))
     plan = plan.withColumn("need", F.when(F.col("whole") < F.col("max_repeat"), F.col("budget") - F.col("whole") * F.col("tokens")).otherwise(0.0))
     plan = materialise(plan.withColumn("short", F.col("max_repeat") * F.col("tokens") < F.col("budget")), "plan")
@@ -148,7 +148,7 @@ def mix_sources(
     picked = sized.join(rule, "source").withColumn("copies", copies.cast("int")).where("copies > 0")
     reached = picked.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("reached_tokens"))
     report = plan.join(reached, "source", "left").na.fill(0, ["reached_tokens"])
-    share = F.col("reached_tokens") / F.sum("reached_tokens").over(Window.partitionBy(F.lit(0)))
+    share = F.coalesce(F.try_divide(F.col("reached_tokens"), F.sum("reached_tokens").over(Window.partitionBy(F.lit(0)))), F.lit(0.0))
     report = report.withColumn("reached_share", share)
     columns = ["source", "target_share", "max_repeat", "documents", "tokens", "budget", "reached_tokens", "reached_share", "short"]
     return picked.select(F.col("__id").alias(id_col), "source", "tokens", "copies"), report.select(columns)
