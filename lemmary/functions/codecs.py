@@ -23,7 +23,7 @@ def encode_uint(value: Column) -> Column:
 
 def decode_uint(text: Column) -> Column:
     """The inverse of :func:`encode_uint`."""
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("bigint"), lambda n, c: n * BASE + F.position(c, F.lit(ALPHABET)) - 1)
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("bigint"), lambda n, c: n * BASE + (F.position(c, F.lit(ALPHABET)) - 1))
 
 
 def delta_encode(values: Column) -> Column:
