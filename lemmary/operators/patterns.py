@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lemmary.operators.search import KEY, pattern_rows, seeds_of
 from lemmary.operators.store import StopTerms, signature, term_stats
+from lemmary.runtime import materialise
 
 
 def pattern_text(rel: Column, args: Column, kpos: Column) -> Column:
@@ -27,7 +28,7 @@ def find_patterns(store: DataFrame, words: DataFrame, stop: DataFrame | None = N
     stops = StopTerms(stop)
     seeds = seeds_of(store, words)
     others = F.filter(F.transform("args", lambda x, i: F.when(i != F.col("kpos"), x)), lambda x: x.isNotNull() & ~stops.holds(x))
-    seeds = seeds.where(F.size(others) > 0).select("target", *KEY, "args", "freq", "tid")
+    seeds = materialise(seeds.where(F.size(others) > 0).select("target", *KEY, "args", "freq", "tid"), "seeds")
     rows = pattern_rows(store, seeds).where((F.col("freq") >= min_sibling) & F.col("kterm").isNotNull()).select(*KEY, "kterm", F.col("freq").alias("f"))
     stats = term_stats(store).select(F.col("term").alias("kterm"), "n", F.col("freq").alias("whole"))
     met = seeds.join(rows, KEY, "left")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lemmary.operators.search import KEY, pattern_rows, seeds_of
 from lemmary.operators.store import StopTerms, is_light
+from lemmary.runtime import materialise
 
 
 def find_sources(
@@ -36,7 +37,8 @@ def find_sources(
     """
     stops = StopTerms(stop)
     heavy = store.where(~is_light(F.col("args"), F.col("rel"), stops))
-    seeds = seeds_of(heavy, targets).where(F.col("freq") >= min_freq).select("target", *KEY, F.col("freq").alias("t"))
+    # the few triples of the targets, written once: their true size decides the joins
+    seeds = materialise(seeds_of(heavy, targets).where(F.col("freq") >= min_freq).select("target", *KEY, F.col("freq").alias("t")), "seeds")
     rows = pattern_rows(heavy, seeds).select(*KEY, "kterm", F.col("args").alias("sargs"), F.col("freq").alias("s"))
     groups = seeds.select("target", *KEY).distinct()
     mass = rows.join(groups, KEY).where(~F.col("kterm").eqNullSafe(F.col("target"))).groupBy("target", *KEY).agg(F.sum("s").alias("mass"))

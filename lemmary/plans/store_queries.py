@@ -16,6 +16,7 @@ from lemmary.operators import store as T
 from lemmary.operators import topics as L
 from lemmary.operators.corpus import reduce_lines
 from lemmary.operators.relations import reduce_counts
+from lemmary.runtime import materialise
 from lemmary.sources import resources as R
 from lemmary.sources.sinks import triple_line
 from lemmary.sources.tables import table
@@ -38,7 +39,8 @@ def _counted(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _store(spark: SparkSession, base: str) -> DataFrame:
-    return T.build_store(_counted(spark, base))
+    """The store as searches find it: written once, then read."""
+    return materialise(T.build_store(_counted(spark, base)), "store")
 
 
 def _domains(spark: SparkSession) -> DataFrame:
