@@ -37,17 +37,21 @@ def reach_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
 
 
-def _remove() -> None:
-    for spark, path in _OWN:
+def release(spark: SparkSession | None = None) -> None:
+    """Delete the tables :func:`materialise` wrote (of one session); frames that read
+    them are of no use afterwards. Happens by itself when the driver ends."""
+    mine = [x for x in _OWN if spark is None or x[0] is spark]
+    _OWN[:] = [x for x in _OWN if x not in mine]
+    for spark, path in mine:
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session may be gone already
+        except Exception:  # noqa: BLE001 - the session may have ended
             pass
 
 
-atexit.register(_remove)
+atexit.register(release)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -58,6 +62,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     size. Files are removed when the driver ends.
     """
     spark = df.sparkSession
+    for name, kind in df.dtypes:
+        if kind == "void":  # has no Parquet type
+            df = df.withColumn(name, F.col(name).cast("string"))
     path = f"{shared_dir(spark).rstrip('/')}/lemmary/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _OWN.append((spark, path))
