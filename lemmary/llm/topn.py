@@ -19,7 +19,7 @@ from lemmary.operators.grouped_join import MAX_HEAVY
 from lemmary.runtime import materialise, maybe_broadcast
 
 
-def top_n(df: DataFrame, group_cols: list[str], order: list[Column], n: int, rank_col: str = "rank", heavy_rows: int = 1_000_000) -> DataFrame:
+def top_n(df: DataFrame, group_cols: list[str], order: list[Column], n: int, rank_col: str = "rank", heavy_rows: int = 10_000) -> DataFrame:
     """Rows of ``df`` with rank 1 to ``n`` in their group, and the rank.
 
     ``order`` is a list of sort expressions such as ``F.desc("score")`` and should
