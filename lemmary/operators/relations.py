@@ -32,17 +32,23 @@ def of_extra(preds: Column, name: str) -> Column:
     return F.filter(preds, lambda p: p["extra"] == name)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` for an array result, with the value computed once. Lambda bodies
+    are interpreted, and an expression written twice in one is computed twice."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
 def hook(preds: Column, variable: Column, slot: int, pos: str) -> Column:
     """Predicates of a part of speech whose lemma has ``variable`` in the slot."""
     held = F.transform(F.filter(preds, lambda q: q[f"a{slot}"] == variable), lambda q: q["lemma"])
     # an absent variable compares as NULL and holds nothing
-    return F.filter(preds, lambda p: (p["pos"] == pos) & F.array_contains(F.array_compact(held), p["lemma"]))
+    return let(F.array_compact(held), lambda h: F.filter(preds, lambda p: (p["pos"] == pos) & F.array_contains(h, p["lemma"])))
 
 
 def lemma_set(preds: Column, pos: str) -> Column:
     """``lemma&&lemma-POS`` of at most four predicates, NULL for none or more."""
-    lemmas = F.array_sort(F.array_distinct(F.transform(preds, lambda p: p["lemma"])))
-    return F.when(F.size(preds).between(1, LARGEST_SET), F.concat(F.array_join(lemmas, "&&"), F.lit("-" + pos)))
+    text = lambda held: F.concat(F.array_join(F.array_sort(F.array_distinct(F.transform(held, lambda p: p["lemma"]))), "&&"), F.lit("-" + pos))
+    return F.get(F.transform(F.array(preds), lambda held: F.when(F.size(held).between(1, LARGEST_SET), text(held))), F.lit(0))
 
 
 def hook_set(preds: Column, variable: Column, slot: int, pos: str) -> Column:
@@ -80,8 +86,18 @@ def together(*words: Column) -> Column:
 
 def first_wins(candidates: Column) -> Column:
     """``triple`` of candidates ``struct<key, triple>`` whose key was not seen before."""
-    kept = F.filter(candidates, lambda c, i: F.array_position(F.transform(candidates, lambda d: d["key"]), c["key"]) == i + 1)
-    return F.transform(kept, lambda c: c["triple"])
+    unique = lambda cs: F.filter(cs, lambda c, i: F.array_position(F.transform(cs, lambda d: d["key"]), c["key"]) == i + 1)
+    return F.transform(let(candidates, unique), lambda c: c["triple"])
+
+
+def with_set(preds: Column, variable: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the noun set on a variable's second slot; nothing if there is none."""
+    return F.flatten(F.transform(F.array_compact(F.array(hook_set(preds, variable, 2, "NN"))), use))
+
+
+def with_subject(preds: Column, verb: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a verb's subject set, NULL if there is none."""
+    return let(hook_set(preds, verb["a2"], 2, "NN"), use)
 
 
 def keyed(key: Column, triple: Column) -> Column:
@@ -91,8 +107,7 @@ def keyed(key: Column, triple: Column) -> Column:
 def _subj_verb_obj(slot: str) -> Relation:
     def relation(preds: Column) -> Column:
         def match(v: Column) -> Column:
-            subj, obj = hook_set(preds, v["a2"], 2, "NN"), hook_set(preds, v[slot], 2, "NN")
-            return only(obj.isNotNull() & differ(subj, obj), emit(subj, word(v), obj))
+            return with_set(preds, v[slot], lambda obj: with_subject(preds, v, lambda subj: only(differ(subj, obj), emit(subj, word(v), obj))))
 
         return each(of_pos(preds, "VB"), match)
 
@@ -101,11 +116,8 @@ def _subj_verb_obj(slot: str) -> Relation:
 
 def subj_verb_instr(preds: Column) -> Column:
     def match(v: Column) -> Column:
-        subj = hook_set(preds, v["a2"], 2, "NN")
-
         def with_instr(i: Column) -> Column:
-            noun = hook_set(preds, i["a3"], 2, "NN")
-            return only(noun.isNotNull() & differ(subj, noun), emit(subj, word(v), noun))
+            return with_set(preds, i["a3"], lambda noun: with_subject(preds, v, lambda subj: only(differ(subj, noun), emit(subj, word(v), noun))))
 
         return each(F.filter(of_extra(preds, "instr"), lambda i: i["a2"] == v["a1"]), with_instr)
 
@@ -114,25 +126,21 @@ def subj_verb_instr(preds: Column) -> Column:
 
 def subj_verb(preds: Column) -> Column:
     def match(v: Column) -> Column:
-        subj = hook_set(preds, v["a2"], 2, "NN")
-        return only(v["a3"].isNull() & v["a4"].isNull() & subj.isNotNull(), emit(subj, word(v)))
+        return with_set(preds, v["a2"], lambda subj: F.array(emit(subj, word(v))))
 
-    return each(of_pos(preds, "VB"), match)
+    return each(F.filter(preds, lambda p: (p["pos"] == "VB") & p["a3"].isNull() & p["a4"].isNull()), match)
 
 
 def subj_verb_prep_compl(preds: Column) -> Column:
     """The attached word may be any predicate, also one that is no word."""
 
     def match(v: Column) -> Column:
-        subj = hook_set(preds, v["a2"], 2, "NN")
-
         def attached(q: Column) -> Column:
-            noun = hook_set(preds, q["a3"], 2, "NN")
-            return only(v["a2"].isNotNull() & noun.isNotNull() & differ(subj, noun), emit(subj, word(v), word(q), noun))
+            return with_set(preds, q["a3"], lambda noun: with_subject(preds, v, lambda subj: only(differ(subj, noun), emit(subj, word(v), word(q), noun))))
 
         return each(F.filter(preds, lambda q: q["a2"] == v["a1"]), attached)
 
-    return each(of_pos(preds, "VB"), match)
+    return each(F.filter(preds, lambda p: (p["pos"] == "VB") & p["a2"].isNotNull()), match)
 
 
 def _verb_pairs(preds: Column, make: Callable[[Column, Column], Column]) -> Column:
@@ -147,11 +155,8 @@ def subj_verb_verb_prep_noun(preds: Column) -> Column:
     """The first pair of verb lemmas that emits does so for all its prepositions."""
 
     def pair(v: Column, w: Column) -> Column:
-        subj = hook_set(preds, v["a2"], 2, "NN")
-
         def attached(p: Column) -> Column:
-            noun = hook_set(preds, p["a3"], 2, "NN")
-            return only(noun.isNotNull() & differ(subj, noun), emit(subj, word(v), word(w), word(p), noun))
+            return with_set(preds, p["a3"], lambda noun: with_subject(preds, v, lambda subj: only(differ(subj, noun), emit(subj, word(v), word(w), word(p), noun))))
 
         return keyed(together(v["lemma"], w["lemma"]), each(hook(preds, w["a1"], 2, "PREP"), attached))
 
@@ -163,11 +168,10 @@ def subj_verb_verb(preds: Column) -> Column:
     """No preposition may hang on the first verb."""
 
     def pair(v: Column, w: Column) -> Column:
-        subj = hook_set(preds, v["a2"], 2, "NN")
         free = F.size(hook(preds, v["a1"], 2, "PREP")) == 0
-        return keyed(F.when(free & subj.isNotNull(), together(v["lemma"], w["lemma"])), emit(subj, word(v), word(w)))
+        return let(hook_set(preds, v["a2"], 2, "NN"), lambda subj: only(free & subj.isNotNull(), keyed(together(v["lemma"], w["lemma"]), emit(subj, word(v), word(w)))))
 
-    return first_wins(F.filter(_verb_pairs(preds, pair), lambda c: c["key"].isNotNull()))
+    return first_wins(F.flatten(_verb_pairs(preds, pair)))
 
 
 def _no_prep(preds: Column, variable: Column, *slots: int) -> Column:
@@ -176,16 +180,15 @@ def _no_prep(preds: Column, variable: Column, *slots: int) -> Column:
 
 def noun_adj(preds: Column) -> Column:
     def match(a: Column) -> Column:
-        noun = hook_set(preds, a["a2"], 2, "NN")
-        return only(noun.isNotNull() & _no_prep(preds, a["a2"], 2, 3), emit(noun, word(a)))
+        return with_set(preds, a["a2"], lambda noun: only(_no_prep(preds, a["a2"], 2, 3), emit(noun, word(a))))
 
     return each(of_pos(preds, "ADJ"), match)
 
 
 def noun_verb_adv(preds: Column) -> Column:
     def match(r: Column) -> Column:
-        verbs = F.transform(hook(preds, r["a2"], 1, "VB"), lambda v: emit(hook_set(preds, v["a2"], 2, "NN"), word(v), word(r)))
-        return F.flatten(only(_no_prep(preds, r["a1"], 2, 3), verbs))
+        verbs = F.filter(hook(preds, r["a2"], 1, "VB"), lambda _: _no_prep(preds, r["a1"], 2, 3))
+        return F.transform(verbs, lambda v: emit(hook_set(preds, v["a2"], 2, "NN"), word(v), word(r)))
 
     return each(of_pos(preds, "RB"), match)
 
@@ -195,11 +198,13 @@ def _compound(size: int) -> Relation:
 
     def relation(preds: Column) -> Column:
         def match(n: Column) -> Column:
-            others = F.filter(hook(preds, n["a2"], 2, "NN"), lambda o: o["ppos"] != n["ppos"])
-            members = [n, *[F.get(others, F.lit(i)) for i in range(size - 1)]]
-            lemmas = F.array(*[m["lemma"] for m in members])
-            fits = (F.size(others) == size - 1) & _no_prep(preds, n["a2"], 2) & (F.size(F.array_distinct(lemmas)) == size)
-            return only(fits, keyed(together(*[m["lemma"] for m in members]), emit(*[word(m) for m in members])))
+            def with_others(others: Column) -> Column:
+                members = [n, *[F.get(others, F.lit(i)) for i in range(size - 1)]]
+                lemmas = F.array(*[m["lemma"] for m in members])
+                fits = (F.size(others) == size - 1) & (F.size(F.array_distinct(lemmas)) == size)
+                return only(fits & _no_prep(preds, n["a2"], 2), keyed(together(*[m["lemma"] for m in members]), emit(*[word(m) for m in members])))
+
+            return let(F.filter(hook(preds, n["a2"], 2, "NN"), lambda o: o["ppos"] != n["ppos"]), with_others)
 
         return first_wins(each(of_pos(preds, "NN"), match))
 
@@ -247,8 +252,7 @@ def noun_equal_prep_noun(preds: Column) -> Column:
 
 def noun_equal_noun(preds: Column) -> Column:
     def match(q: Column) -> Column:
-        a, b = hook_set(preds, q["a2"], 2, "NN"), hook_set(preds, q["a3"], 2, "NN")
-        return only(a.isNotNull() & b.isNotNull() & (a != b) & _no_prep(preds, q["a3"], 2), emit(a, b))
+        return with_set(preds, q["a2"], lambda a: with_set(preds, q["a3"], lambda b: only((a != b) & _no_prep(preds, q["a3"], 2), emit(a, b))))
 
     return each(of_extra(preds, "equal"), match)
 
@@ -275,8 +279,7 @@ def compl(preds: Column) -> Column:
 
 def nn_prep(preds: Column) -> Column:
     def match(p: Column) -> Column:
-        a, b = hook_set(preds, p["a2"], 2, "NN"), hook_set(preds, p["a3"], 2, "NN")
-        return only(a.isNotNull() & b.isNotNull() & (a != b), emit(a, word(p), b))
+        return with_set(preds, p["a2"], lambda a: with_set(preds, p["a3"], lambda b: only(a != b, emit(a, word(p), b))))
 
     return each(of_pos(preds, "PREP"), match)
 

@@ -61,20 +61,28 @@ def map_pos(tag: Column) -> Column:
 
 def parse_predicate(p: Column) -> Column:
     """``struct<pid, lemma, pos, extra, args>`` of one predicate; lemma and extra are
-    NULL where the text is neither ``[pid]:lemma-pos(args)`` nor ``name(args)``."""
-    is_lemma = p.startswith("[")
-    part = lambda i: F.regexp_extract(p, _LEMMA, i)
-    lemma, pos = F.replace(part(2), F.lit(":"), F.lit("")), map_pos(part(3))
-    kept = is_lemma & (lemma != "") & pos.isNotNull()
-    extra = F.when(~is_lemma & p.rlike(_EXTRA), F.regexp_extract(p, _EXTRA, 1))
-    args = F.when(is_lemma, part(4)).otherwise(F.regexp_extract(p, _EXTRA, 2))
-    return F.struct(
-        F.when(kept, part(1)).alias("pid"),
-        F.when(kept, lemma).alias("lemma"),
-        F.when(kept, pos).alias("pos"),
-        extra.alias("extra"),
-        F.when(kept | extra.isNotNull(), parse_args(args)).alias("args"),
-    )
+    NULL where the text is neither ``[pid]:lemma-pos(args)`` nor ``name(args)``.
+
+    Each pattern runs once: its groups come back as one string that is split.
+    """
+    of_word = F.regexp_replace(p, _LEMMA, "$1\x01$2\x01$3\x01$4")
+    of_name = F.regexp_replace(p, _EXTRA, "$1\x01$2")
+    parts = F.split(F.when(p.startswith("["), of_word).otherwise(of_name), "\x01")
+    get = lambda f, i: F.get(f, F.lit(i))
+
+    def shape(f: Column) -> Column:
+        is_word, is_name = F.size(f) == 4, (F.size(f) == 2) & ~p.startswith("[")
+        lemma, pos = F.replace(get(f, 1), F.lit(":"), F.lit("")), map_pos(get(f, 2))
+        kept = is_word & (lemma != "") & pos.isNotNull()
+        return F.struct(
+            F.when(kept, get(f, 0)).alias("pid"),
+            F.when(kept, lemma).alias("lemma"),
+            F.when(kept, pos).alias("pos"),
+            F.when(is_name, get(f, 0)).alias("extra"),
+            F.when(kept | is_name, parse_args(F.when(is_word, get(f, 3)).otherwise(get(f, 1)))).alias("args"),
+        )
+
+    return F.get(F.transform(F.array(parts), shape), F.lit(0))
 
 
 def parse_sentences(sentences: DataFrame) -> DataFrame:
