@@ -286,8 +286,9 @@ def leaked_items(
     before = F.least("dpos", "ipos")
     after = F.least(F.col("dwords") - F.col("dpos"), F.col("iwords") - F.col("ipos"))
     met = hits.join(maybe_broadcast(prefix, memory_shingles // 20), "hash").where(before + after + slack >= min_words)
-    pairs = met.select("doc", "item").distinct()
+    # few next to the corpus: while they are, its texts are not shuffled for them
+    pairs = maybe_broadcast(materialise(met.select("doc", "item").distinct(), "met"), memory_shingles // 4)
 
-    checked = pairs.join(d, "doc").join(cut, "item").select("doc", "item", "text", "words")
+    checked = d.join(pairs, "doc").join(cut, "item").select("doc", "item", "text", "words")
     found = checked.mapInArrow(_verifier(width, min_words, per_edit), f"doc {doc_type}, item {item_type}, n_words int")
     return found.groupBy(F.col("doc").alias(doc_col), F.col("item").alias(item_col)).agg(F.max("n_words").alias("n_words"))
