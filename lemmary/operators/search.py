@@ -67,14 +67,19 @@ def pattern_rows(store: DataFrame, seeds: DataFrame) -> DataFrame:
     return rows.withColumn("pattern", _masked(F.col("args"), F.col("mask")))
 
 
-def siblings(store: DataFrame, targets: DataFrame, exact_arity: bool = False) -> DataFrame:
+def siblings(store: DataFrame, targets: DataFrame, strict: bool = False) -> DataFrame:
     """``target, tid, kpos, sibling_tid, sibling, sibling_args, sibling_freq``: triples
-    that share a target triple's relation and fixed arguments but not the target."""
+    that share a target triple's relation and fixed arguments but not the target.
+
+    An empty slot of the target's triple matches anything; with ``strict`` all slots
+    but the target's must be equal, empty ones too.
+    """
     seeds = seeds_of(store, targets)
     rows = pattern_rows(store, seeds).select(*KEY, F.col("tid").alias("sibling_tid"), F.col("kterm").alias("sibling"), F.col("args").alias("sibling_args"), F.col("freq").alias("sibling_freq"))
     met = seeds.join(rows, KEY).where(~F.col("sibling").eqNullSafe(F.col("target")))
-    if exact_arity:
-        met = met.where(F.size("args") == F.size("sibling_args"))
+    if strict:
+        rest = lambda c: F.transform(c, lambda x, i: F.when(i != F.col("kpos"), x))
+        met = met.where(rest("args") == rest("sibling_args"))
     return met.select("target", "tid", "kpos", "sibling_tid", "sibling", "sibling_args", "sibling_freq")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,12 @@ from lemmary.operators import store as T
 from lemmary.operators import topics as L
 from lemmary.operators.corpus import reduce_lines
 from lemmary.operators.relations import reduce_counts
-from lemmary.runtime import materialise
+from lemmary.runtime import materialise, shared_dir
 from lemmary.sources import resources as R
 from lemmary.sources.sinks import triple_line
 from lemmary.sources.tables import table
+from lemmary.streaming.triples import append_counts, stream_table
+from lemmary.streaming.triples import merged_counts as merged_counts_of_stream
 
 #: The example query and concept net of these checks.
 QUERY = json.dumps(
@@ -170,6 +173,18 @@ def siblings(spark, base):
     return S.siblings(_store(spark, base), _targets(spark)).select("target", "tid", "kpos", "sibling_tid", "sibling", "sibling_freq")
 
 
+def strict_siblings(spark, base):
+    """Siblings whose other slots are all equal, empty ones too."""
+    return S.siblings(_store(spark, base), _targets(spark), strict=True).select("target", "tid", "kpos", "sibling_tid", "sibling", "sibling_freq")
+
+
+def stream_counts(spark, base):
+    """Triples counted as a stream of files, batch by batch."""
+    place = f"{shared_dir(spark).rstrip('/')}/lemmary/stream-{uuid.uuid4().hex}"
+    append_counts(stream_table(spark, f"{base}/triple.parquet"), f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    return merged_counts_of_stream(spark, f"{place}/out")
+
+
 def _find(spark, base, **more) -> DataFrame:
     return Q.find_sources(_store(spark, base), _targets(spark), _stop(spark, base), _concepts(spark), **more)
 
@@ -264,7 +279,7 @@ def transliterated(spark, base):
 
 _NAMES = """scan_triples scan_query scan_stop scan_cnet domain_pairs target_terms build_store postings posting_lists posting_round_trip
 dictionary dict_lookup dense_dictionary stamp_round_trip term_stats target_stats term_triples_freq heavy_triples stop_triples term_search
-position_search search_many siblings find_sources all_sources source_triples source_lines source_matrix similar_sources filter_similar
+position_search search_many siblings strict_siblings stream_counts find_sources all_sources source_triples source_lines source_matrix similar_sources filter_similar
 find_patterns pattern_terms top_patterns pattern_matrix pattern_lines triple_lines reduce_files merged_counts base_codes transliterated""".split()
 
 QUERIES = {name: globals()[name] for name in _NAMES}
@@ -361,6 +376,10 @@ FROM (SELECT line_id, string_split(line, ', ') AS p FROM triple_csv WHERE regexp
     + "SELECT 1 AS qid, tid, rel, args, freq FROM store WHERE list_contains(args, 'берег') UNION ALL SELECT 2, tid, rel, args, freq FROM store WHERE args[1] = 'shore' UNION ALL SELECT 3, tid, rel, args, freq FROM store WHERE list_contains(args, 'boat') AND list_contains(args, 'near')",
     "siblings": _BASE
     + f", seeds AS (SELECT target, slots.* FROM slots JOIN targets ON kterm = target) SELECT s.target, s.tid, CAST(s.kpos AS INTEGER) AS kpos, c.tid AS sibling_tid, c.kterm AS sibling, c.freq AS sibling_freq FROM seeds s JOIN slots c ON s.rel = c.rel AND s.kpos = c.kpos AND c.kterm IS DISTINCT FROM s.target AND {_SAME}",
+    "strict_siblings": _BASE
+    + ", seeds AS (SELECT target, slots.* FROM slots JOIN targets ON kterm = target) SELECT s.target, s.tid, CAST(s.kpos AS INTEGER) AS kpos, c.tid AS sibling_tid, c.kterm AS sibling, c.freq AS sibling_freq FROM seeds s JOIN slots c ON s.rel = c.rel AND s.kpos = c.kpos AND c.kterm IS DISTINCT FROM s.target AND len(s.args) = len(c.args) AND "
+    + " AND ".join(f"(s.kpos = {i - 1} OR s.args[{i}] IS NOT DISTINCT FROM c.args[{i}])" for i in range(1, 6)),
+    "stream_counts": "SELECT rel, arg1, arg2, arg3, arg4, arg5, CAST(sum(coalesce(freq, 0)) AS BIGINT) AS freq FROM triple GROUP BY ALL",
     "find_sources": _FOUND + "SELECT target, rank, source, round(norm_source, 8) AS norm_source, round(norm_target, 8) AS norm_target, n, src_freq, tgt_freq FROM ranked WHERE rank <= 100",
     "all_sources": _PLAIN + "SELECT target, source, round(norm_source, 8) AS norm_source, round(norm_target, 8) AS norm_target, n, src_freq, tgt_freq FROM scored",
     "source_triples": _FOUND

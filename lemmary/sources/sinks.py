@@ -29,9 +29,15 @@ def write_postings(postings: DataFrame, path: str) -> None:
     clustered.write.mode("errorifexists").option("parquet.bloom.filter.enabled#term", "true").parquet(path)
 
 
+def write_sentence_postings(postings: DataFrame, path: str) -> None:
+    """Sentence postings clustered by term."""
+    clustered = postings.repartitionByRange("term", "file", "sid").sortWithinPartitions("term", "file", "sid")
+    clustered.write.mode("errorifexists").option("parquet.bloom.filter.enabled#term", "true").parquet(path)
+
+
 def match_line() -> Column:
     """A matched sentence with its domain, words and text."""
-    return F.format_string("[id:%d, domain:%s, source:%s, target:%s] \n %s\n", "sid", "domain", "source", "target", "raw_text")
+    return F.format_string("[id:%d, domain:%s, source:%s, target:%s] \n %s\n", "sid", "domain", "source", "target", F.coalesce("raw_text", F.lit("")))
 
 
 def write_encoded(df: DataFrame, text: str, path: str, charset: str = "UTF-8") -> None:

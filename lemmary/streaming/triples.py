@@ -15,8 +15,11 @@ def running_counts(stream: DataFrame) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A Parquet folder as a stream of files."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """A Parquet folder, or one file, as a stream of files."""
+    schema = spark.read.parquet(path).schema
+    path = path.rstrip("/")
+    as_glob = f"{path[:-1]}[{path[-1]}]"  # a stream's plain path must be a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(as_glob)
 
 
 def append_counts(stream: DataFrame, out: str, checkpoint: str, freq_col: str = "freq") -> StreamingQuery:
