@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lemmary.operators import metaphor as M
 from lemmary.operators import relations as E
 from lemmary.operators import search as S
+from lemmary.plans.flat import flat_query, flat_sql
 from lemmary.sources import logical_form as LF
 from lemmary.sources.sinks import match_line
 from lemmary.sources.tables import table
@@ -313,3 +314,6 @@ ORACLE = {
     + _CC
     + ", g AS (SELECT file, sid, ppos, min(root) AS root FROM cc GROUP BY ALL), v AS (SELECT DISTINCT file, sid, root, unnest(args) AS a FROM g JOIN p USING (file, sid, ppos)) SELECT file, sid, string_agg(a, ' ' ORDER BY a) AS variables FROM v WHERE a IS NOT NULL GROUP BY file, sid, root",
 } | {f"rel_{r}": _BUILT + f"SELECT file, arg1, arg2, arg3, arg4, arg5 FROM ({sql})" for r, sql in _RELATION.items()}
+
+QUERIES["sentence_lemmas"] = flat_query(QUERIES["sentence_lemmas"], ["lemmas"])
+ORACLE["sentence_lemmas"] = flat_sql(ORACLE["sentence_lemmas"], ["lemmas"])

@@ -17,6 +17,7 @@ from lemmary.operators import store as T
 from lemmary.operators import topics as L
 from lemmary.operators.corpus import reduce_lines
 from lemmary.operators.relations import reduce_counts
+from lemmary.plans.flat import flat_query, flat_sql
 from lemmary.runtime import materialise, shared_dir
 from lemmary.sources import resources as R
 from lemmary.sources.sinks import triple_line
@@ -405,3 +406,18 @@ SELECT target, CAST(row_id AS INTEGER) AS row_id, source, {_TEXT} AS pattern, ro
 SELECT tid, code, tid AS back FROM d WHERE rest = 0 AND code <> ''""",
     "transliterated": "SELECT * FROM (VALUES ('shore', 'shore'), ('берег', 'bereg'), ('orilla', 'orilla'), ('туман', 'tuman'), ('well', 'well')) t(target, latin)",
 }
+
+_ARRAYS = {
+    "scan_triples": ["args"],
+    "scan_query": ["source", "target"],
+    "build_store": ["args"],
+    "posting_lists": ["pos", "deltas"],
+    "stamp_round_trip": ["args"],
+    "heavy_triples": ["args"],
+    "term_search": ["args"],
+    "position_search": ["args"],
+    "search_many": ["args"],
+}
+for _name, _columns in _ARRAYS.items():
+    QUERIES[_name] = flat_query(QUERIES[_name], _columns)
+    ORACLE[_name] = flat_sql(ORACLE[_name], _columns)
