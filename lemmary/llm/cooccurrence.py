@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lemmary.functions.arrow import chunks
 from lemmary.functions.terms import canonical_term, encode
-from lemmary.runtime import materialise
+from lemmary.runtime import is_small, materialise
 
 COUNTS = "context string, a string, b string, n bigint"
 PAIRS_AT_ONCE = 4_000_000
@@ -102,22 +102,11 @@ def _pairs(context: np.ndarray, row: np.ndarray, item: np.ndarray, items: int, h
 
 
 def _counter(heavy_share: int, spell):
-    """Columns: context, basket, items. Sorted by basket; a basket seen twice in a
-    row is another delivery of the same one."""
+    """Columns: context, items; every row is a basket."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
         for t in chunks(batches):
             t = t.combine_chunks()
-            basket = t.column("basket").combine_chunks()
-            fresh = np.ones(t.num_rows, bool)
-            if t.num_rows > 1:
-                fresh[1:] = pc.fill_null(pc.not_equal(basket[1:], basket[:-1]), True).to_numpy(zero_copy_only=False)
-            fresh[0] = last is None or not last.is_valid or basket[0] != last
-            last = basket[t.num_rows - 1]
-            t = t.filter(pa.array(fresh))
-            if not t.num_rows:
-                continue
             context, contexts = encode(t.column("context"), lambda v: v)
             contexts.append(None)
             context[context < 0] = len(contexts) - 1
@@ -146,6 +135,19 @@ def _counter(heavy_share: int, spell):
     return run
 
 
+def _delivered_once(used: DataFrame, few: int = 500_000) -> DataFrame:
+    """One row of each ``basket``; rows without one are baskets of their own.
+
+    Only identifiers are shuffled to find those that came more than once; while
+    these are few, all other rows stay where they are. Beyond, rows are shuffled.
+    """
+    again = materialise(used.where("basket IS NOT NULL").groupBy("basket").count().where("count > 1").select("basket"), "again")
+    if not is_small(again, few):
+        return used.where("basket IS NOT NULL").dropDuplicates(["basket"]).unionByName(used.where("basket IS NULL"))
+    again = F.broadcast(again)
+    return used.join(again, "basket", "left_anti").unionByName(used.join(again, "basket", "left_semi").dropDuplicates(["basket"]))
+
+
 def item_pairs(
     df: DataFrame,
     context_col: str,
@@ -168,9 +170,8 @@ def item_pairs(
     kinds = {f.name: f.dataType.typeName() for f in df.schema}
     items = F.col(item_cols[0]).cast("array<string>") if len(item_cols) == 1 and kinds.get(item_cols[0]) == "array" else F.array(*[F.col(c).cast("string") for c in item_cols])
     used = df.select(F.col(context_col).cast("string").alias("context"), F.col(basket_col).alias("basket"), items.alias("items"))
-    spread = F.when(F.col("basket").isNull(), F.xxhash64("context", "items")).otherwise(F.xxhash64("basket"))
-    sorted_ = used.withColumn("spread", spread).repartition("spread").sortWithinPartitions("basket", "context", "items").drop("spread")
-    counts = sorted_.mapInArrow(_counter(heavy_share, spell), COUNTS).groupBy("context", "a", "b").agg(F.sum("n").alias("n"))
+    once = _delivered_once(used).select("context", "items")
+    counts = once.mapInArrow(_counter(heavy_share, spell), COUNTS).groupBy("context", "a", "b").agg(F.sum("n").alias("n"))
     counts = materialise(counts.where((F.col("n") >= min_pairs) | F.col("b").isNull()), "pairs")
     same = lambda x, y: x.eqNullSafe(y)
     pairs = counts.where("b IS NOT NULL").withColumnRenamed("n", "n_ab").alias("p")

@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 
 from lemmary.functions.terms import canonical_term
-from lemmary.llm.cooccurrence import item_pairs
+from lemmary.llm.cooccurrence import _delivered_once, item_pairs
 
 SCHEMA = "rel string, tid bigint, arg1 string, arg2 string, arg3 string, context string, n int"
 
@@ -54,3 +54,12 @@ def test_empty_and_wide(spark):
     df = spark.createDataFrame([("c", 1, [f"i{j}" for j in range(40)]), ("c", 2, ["i1", "i2", "i2"]), ("c", 3, None), ("c", 4, [])], "rel string, tid bigint, bag array<string>")
     got = {(x.a, x.b): (x.n_ab, x.n) for x in item_pairs(df, "rel", "tid", ["bag"], 1).collect()}
     assert len(got) == 40 * 39 // 2 and got["i1", "i2"] == (2, 4)
+
+
+def test_many_redelivered_baskets(spark):
+    """Rows are shuffled when more identifiers repeat than may be sent to the tasks."""
+    rows = [("r", i % 500 if i % 7 else None, ["a", f"w{i % 500 % 9}"]) for i in range(2000)]
+    used = spark.createDataFrame(rows, "context string, basket int, items array<string>")
+    for few in (10, 10**6):
+        got = _delivered_once(used, few).collect()
+        assert sorted((x.basket is None, x.basket or 0, x["items"][1]) for x in got) == sorted({(False, b, i[1]) for _, b, i in rows if b is not None}) + sorted((True, 0, i[1]) for _, b, i in rows if b is None)
