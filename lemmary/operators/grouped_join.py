@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmary.runtime import maybe_broadcast
+from lemmary.runtime import materialise, maybe_broadcast
 
 #: Most keys that can be called heavy; each then holds over 1/MAX_HEAVY of all rows.
 MAX_HEAVY = 1_000
@@ -17,10 +17,13 @@ def join_stats(rows: DataFrame, stats: DataFrame, keys: list[str], count_col: st
     ``count_col`` of ``stats`` is the number of rows of the key and ``total`` of
     all rows. Keys that hold more than 1/1000 of all rows are at most 1,000, so
     their statistics are broadcast and their rows stay where they are; only the
-    rows of light keys are shuffled. NULL keys do not join.
+    rows of light keys are shuffled. ``stats`` is read several times, so it should be
+    a written table. NULL keys do not join.
     """
     is_heavy = F.col(count_col) * MAX_HEAVY > F.lit(total)
-    heavy = maybe_broadcast(stats.where(is_heavy), MAX_HEAVY)
-    mark = maybe_broadcast(stats.where(is_heavy).select(*keys, F.lit(True).alias("__heavy")), MAX_HEAVY)
-    light = rows.join(mark, keys, "left_anti").join(stats.where(~is_heavy), keys)
+    heavy = materialise(stats.where(is_heavy), "heavy-keys")
+    if heavy.isEmpty():
+        return rows.join(stats, keys)
+    heavy = maybe_broadcast(heavy, MAX_HEAVY)
+    light = rows.join(heavy.select(keys), keys, "left_anti").join(stats.where(~is_heavy), keys)
     return light.unionByName(rows.join(heavy, keys))
