@@ -130,7 +130,7 @@ def term_enrichment(df: DataFrame, record_cols: list[str], term_col: str, count_
     used = used.dropna(subset=[*record_cols, "__term"]).groupBy(*record_cols, "__term").agg(F.sum("freq").alias("freq"))
     used = materialise(used, "counts")
     records = materialise(used.groupBy(*record_cols).agg(F.count("*").alias("rows"), F.sum("freq").alias("record_total")), "records")
-    terms = used.groupBy("__term").agg(F.count("*").alias("df"), F.sum("freq").alias("term_total"))
+    terms = materialise(used.groupBy("__term").agg(F.count("*").alias("df"), F.sum("freq").alias("term_total")), "term-totals")
     whole = records.agg(F.count("*").alias("records"), F.sum("rows").alias("rows"), F.sum("record_total").alias("total")).first()
     n = whole.rows or 0
     joined = join_stats(join_stats(used, records, record_cols, "rows", n), terms, ["__term"], "df", n)
