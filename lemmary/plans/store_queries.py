@@ -17,9 +17,11 @@ from lemmary.operators import store as T
 from lemmary.operators import topics as L
 from lemmary.operators.corpus import reduce_lines
 from lemmary.operators.relations import reduce_counts
+from lemmary.plans import loading
 from lemmary.plans.flat import flat_query, flat_sql
 from lemmary.runtime import materialise, shared_dir
 from lemmary.sources import resources as R
+from lemmary.sources.recovering_reader import parse_triples
 from lemmary.sources.sinks import triple_line
 from lemmary.sources.tables import table
 from lemmary.streaming.triples import append_counts, stream_table
@@ -72,10 +74,20 @@ def _topics(spark: SparkSession, base: str) -> DataFrame:
 
 
 def scan_triples(spark, base):
+    """Plain lines only (no quotes, no carriage return); :func:`scan_all_triples` reads all."""
     lines = table(spark, base, "triple_csv").where(F.col("line").rlike(r'^[a-z_]+(, [^",]+){5}, [0-9]{1,18}\z'))
     return lines.select("line_id", T.parse_row(F.col("line")).alias("t")).select("line_id", "t.*")
 
 
+def scan_all_triples(spark, base):
+    """Every line of triple_csv: its triple, or NULL fields and the reason. ``freq`` is
+    text here, so that 19 digits beside NULLs compare alike in every engine."""
+    read = parse_triples(table(spark, base, "triple_csv"), "line_id", "line")
+    slots = F.filter(F.array("arg1", "arg2", "arg3", "arg4", "arg5"), lambda a: a != "<->")
+    args = F.when(F.col("reason").isNull(), F.transform(slots, T.strip_pos))
+    return read.select("line_id", F.when(F.col("reason").isNull(), F.col("rel")).alias("rel"), args.alias("args"), F.col("freq").cast("string").alias("freq"), "reason")
+
+
 def scan_query(spark, base):
     return _domains(spark)
 
@@ -278,7 +290,7 @@ def transliterated(spark, base):
     return _targets(spark).select("target", transliterate(F.col("target")).alias("latin"))
 
 
-_NAMES = """scan_triples scan_query scan_stop scan_cnet domain_pairs target_terms build_store postings posting_lists posting_round_trip
+_NAMES = """scan_triples scan_all_triples scan_query scan_stop scan_cnet domain_pairs target_terms build_store postings posting_lists posting_round_trip
 dictionary dict_lookup dense_dictionary stamp_round_trip term_stats target_stats term_triples_freq heavy_triples stop_triples term_search
 position_search search_many siblings strict_siblings stream_counts find_sources all_sources source_triples source_lines source_matrix similar_sources filter_similar
 find_patterns pattern_terms top_patterns pattern_matrix pattern_lines triple_lines reduce_files merged_counts base_codes transliterated""".split()
@@ -348,7 +360,22 @@ _TOPICS = (
     "sim AS (SELECT r.target, r.source, coalesce((SELECT sum(a.w * b.w) FROM tn a JOIN tn b ON a.rel = b.rel WHERE a.term = r.target AND b.term = r.source), 0.0) AS similarity FROM ranked r WHERE rank <= 20)"
 )
 
+_FIELD = '"(?:[^"]|"")*"|[^"]*'
+_FIELDS = ["rel", "a1", "a2", "a3", "a4", "a5", "freq"]
+_UNQUOTED = """CASE WHEN g.{0}[1] = '"' THEN replace(g.{0}[2:-2], '""', '"') ELSE g.{0} END"""
+_LINES = (
+    loading._CHECKED
+    + f""", g AS (SELECT c.*, regexp_extract(line, '^{", ".join([f"({_FIELD})"] * 7)}$', {_FIELDS}) AS g FROM c),
+f AS (SELECT line_id, line, quoted, n, coalesce(quoted AND n = 7 AND sound, false) AS sound, {", ".join(f"{_UNQUOTED.format(x)} AS {x}" for x in _FIELDS)} FROM g)
+"""
+)
+
 ORACLE = {
+    "scan_all_triples": _LINES
+    + """SELECT line_id, CASE WHEN sound THEN rel END AS rel,
+  CASE WHEN sound THEN list_transform(list_filter([a1, a2, a3, a4, a5], lambda a: a <> '<->'), lambda a: CASE WHEN a IN ('<NONE>', 'None-<NONE-POS>') THEN NULL ELSE regexp_replace(a, '-[^-]*$', '') END) END AS args,
+  CASE WHEN sound THEN CAST(TRY_CAST(freq AS BIGINT) AS VARCHAR) END AS freq,
+  CASE WHEN sound THEN NULL WHEN line IS NULL THEN 'columns' WHEN NOT quoted THEN 'quoting' WHEN n <> 7 THEN 'columns' ELSE 'value' END AS reason FROM f""",
     "scan_triples": """SELECT line_id, p[1] AS rel, list_transform(list_filter(p[2:6], lambda a: a <> '<->'), lambda a: CASE WHEN a IN ('<NONE>', 'None-<NONE-POS>') THEN NULL ELSE regexp_replace(a, '-[^-]*$', '') END) AS args, CAST(p[7] AS BIGINT) AS freq
 FROM (SELECT line_id, string_split(line, ', ') AS p FROM triple_csv WHERE regexp_full_match(line, '[a-z_]+(, [^",]+){5}, [0-9]{1,18}'))""",
     "scan_query": "SELECT * FROM (VALUES ('water', ['boat', 'лодка'], ['shore', 'берег', 'orilla']), ('weather', ['wind', 'зима'], ['туман', 'well'])) q(label, source, target)",
@@ -408,6 +435,7 @@ SELECT tid, code, tid AS back FROM d WHERE rest = 0 AND code <> ''""",
 }
 
 _ARRAYS = {
+    "scan_all_triples": ["args"],
     "scan_triples": ["args"],
     "scan_query": ["source", "target"],
     "build_store": ["args"],
