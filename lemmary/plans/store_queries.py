@@ -224,11 +224,29 @@ def source_lines(spark, base):
     return lines.select("target", "rank", F.regexp_extract("line", "^([^\t]*\t[^\t]*\t[^\t]*\t[^\t]*\t[^\t]*\t[^\t]*)\t", 1).alias("line"))
 
 
+def all_source_triples(spark, base):
+    """As :func:`source_triples`, of all sources."""
+    t = _find(spark, base, k=0).select("target", "source", F.explode("triples").alias("t"))
+    return t.select("target", "source", "t.rel", F.array_join("t.args", ";", "NONE").alias("args"), F.round("t.norm", 8).alias("norm"))
+
+
+def source_lines_100(spark, base):
+    """As :func:`source_lines`, of the hundred sources that ``find_sources`` ranks."""
+    lines = Q.source_line(_find(spark, base))
+    return lines.select("target", "rank", F.regexp_extract("line", "^([^\t]*\t[^\t]*\t[^\t]*\t[^\t]*\t[^\t]*\t[^\t]*)\t", 1).alias("line"))
+
+
 def source_matrix(spark, base):
     cells = Q.source_matrix(_find(spark, base, k=20))
     return cells.select("target", "row_id", "source", "pattern", F.round("value", 8).alias("value"))
 
 
+def all_source_matrix(spark, base):
+    """As :func:`source_matrix`, of all sources."""
+    cells = Q.source_matrix(_find(spark, base, k=0))
+    return cells.select("target", "row_id", "source", "pattern", F.round("value", 8).alias("value"))
+
+
 def similar_sources(spark, base):
     pairs = _find(spark, base, k=20).select("target", "source")
     return L.topic_similarity(pairs, _topics(spark, base)).select("target", "source", F.round("similarity", 8).alias("similarity"))
@@ -239,6 +257,18 @@ def filter_similar(spark, base):
     return L.filter_similar(pairs, _topics(spark, base), 0.2).select("target", "source")
 
 
+def all_similar_sources(spark, base):
+    """As :func:`similar_sources`, of all sources."""
+    pairs = _find(spark, base, k=0).select("target", "source")
+    return L.topic_similarity(pairs, _topics(spark, base)).select("target", "source", F.round("similarity", 8).alias("similarity"))
+
+
+def filter_all_similar(spark, base):
+    """As :func:`filter_similar`, of all sources."""
+    pairs = _find(spark, base, k=0).select("target", "source")
+    return L.filter_similar(pairs, _topics(spark, base), 0.2).select("target", "source")
+
+
 def _patterns(spark, base) -> DataFrame:
     return P.find_patterns(_store(spark, base), _targets(spark), _stop(spark, base))
 
@@ -257,11 +287,23 @@ def top_patterns(spark, base):
     return top.select("term", "rank", "pattern", F.size("terms").alias("n_terms"))
 
 
+def top_patterns_100(spark, base):
+    """The hundred best patterns with their hundred best terms."""
+    top = P.top_patterns(_patterns(spark, base))
+    return top.select("term", "rank", "pattern", F.size("terms").alias("n_terms"))
+
+
 def pattern_matrix(spark, base):
     cells = P.pattern_matrix(P.top_patterns(_patterns(spark, base), 50, 50))
     return cells.select("term", "row_id", "pattern", "col_term", F.round("value", 8).alias("value"))
 
 
+def all_pattern_matrix(spark, base):
+    """As :func:`pattern_matrix`, of all patterns and terms."""
+    cells = P.pattern_matrix(_patterns(spark, base))
+    return cells.select("term", "row_id", "pattern", "col_term", F.round("value", 8).alias("value"))
+
+
 def pattern_lines(spark, base):
     """Text form of patterns with five or more terms, without the terms."""
     return P.pattern_line(_patterns(spark, base)).select("term", "rank", F.regexp_extract("line", "^([^\t]*\t[^\t]*\t[^\t]*\t[^\t]*)\t", 1).alias("line"))
@@ -293,7 +335,8 @@ def transliterated(spark, base):
 _NAMES = """scan_triples scan_all_triples scan_query scan_stop scan_cnet domain_pairs target_terms build_store postings posting_lists posting_round_trip
 dictionary dict_lookup dense_dictionary stamp_round_trip term_stats target_stats term_triples_freq heavy_triples stop_triples term_search
 position_search search_many siblings strict_siblings stream_counts find_sources all_sources source_triples source_lines source_matrix similar_sources filter_similar
-find_patterns pattern_terms top_patterns pattern_matrix pattern_lines triple_lines reduce_files merged_counts base_codes transliterated""".split()
+find_patterns pattern_terms top_patterns pattern_matrix pattern_lines triple_lines reduce_files merged_counts base_codes transliterated
+all_source_triples source_lines_100 all_source_matrix all_similar_sources filter_all_similar top_patterns_100 all_pattern_matrix""".split()
 
 QUERIES = {name: globals()[name] for name in _NAMES}
 
@@ -360,6 +403,8 @@ _TOPICS = (
     "sim AS (SELECT r.target, r.source, coalesce((SELECT sum(a.w * b.w) FROM tn a JOIN tn b ON a.rel = b.rel WHERE a.term = r.target AND b.term = r.source), 0.0) AS similarity FROM ranked r WHERE rank <= 20)"
 )
 
+_ALL_TOPICS = _TOPICS.replace(" r WHERE rank <= 20", " r")
+
 _FIELD = '"(?:[^"]|"")*"|[^"]*'
 _FIELDS = ["rel", "a1", "a2", "a3", "a4", "a5", "freq"]
 _UNQUOTED = """CASE WHEN g.{0}[1] = '"' THEN replace(g.{0}[2:-2], '""', '"') ELSE g.{0} END"""
@@ -434,6 +479,16 @@ SELECT tid, code, tid AS back FROM d WHERE rest = 0 AND code <> ''""",
     "transliterated": "SELECT * FROM (VALUES ('shore', 'shore'), ('берег', 'bereg'), ('orilla', 'orilla'), ('туман', 'tuman'), ('well', 'well')) t(target, latin)",
 }
 
+ORACLE |= {
+    "all_source_triples": _FOUND + "SELECT target, source, rel, array_to_string(list_transform(cargs, lambda x: coalesce(x, 'NONE')), ';') AS args, round(ns, 8) AS norm FROM met",
+    "source_lines_100": ORACLE["source_lines"].replace("rank <= 5", "rank <= 100"),
+    "all_source_matrix": ORACLE["source_matrix"].replace(" WHERE rank <= 20", ""),
+    "all_similar_sources": _FOUND + _ALL_TOPICS + "SELECT target, source, round(similarity, 8) AS similarity FROM sim",
+    "filter_all_similar": _FOUND + _ALL_TOPICS + "SELECT target, source FROM sim WHERE similarity >= 0.2",
+    "top_patterns_100": ORACLE["top_patterns"].replace("least(2,", "least(100,").replace("r.rank <= 5", "r.rank <= 100"),
+    "all_pattern_matrix": ORACLE["pattern_matrix"].replace(" WHERE rank <= 50 AND tn <= 50", ""),
+}
+
 _ARRAYS = {
     "scan_all_triples": ["args"],
     "scan_triples": ["args"],

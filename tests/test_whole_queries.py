@@ -21,3 +21,16 @@ def test_every_line_is_scanned(spark, tmp_path):
     got = {x.line_id: tuple(x)[1:] for x in QUERIES["scan_all_triples"](spark, str(tmp_path)).collect()}
     unread = {i: (None, None, None, why) for i, why in ((4, "value"), (5, "quoting"), (6, "columns"), (7, "columns"))}
     assert got == {0: ("nn", "a;b", "7", None), 1: ("nn", "a;b", "7", None), 2: ("nn", 'a, "b";NULL', "8", None), 3: ("nn", "a,b;c-d", str(most), None)} | unread
+
+
+def test_no_small_rank_limits(spark, tmp_path):
+    """Of 120 words that share a pattern with a target all or the best hundred come out."""
+    words = ["shore", *(f"w{i:03}" for i in range(120))]
+    triples = [(w, other) for w in words for other in ("kill", "go", "stay")]
+    rows = [(i, "subj_verb", [w, v], f"{w}-NN", f"{v}-VB", "<->", "<->", "<->", 100 - i % 7) for i, (w, v) in enumerate(triples)]
+    kind = "tid bigint, rel string, args array<string>, arg1 string, arg2 string, arg3 string, arg4 string, arg5 string, freq bigint"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/triple.parquet")
+    spark.createDataFrame([], "rank int, freq double, lemma string, pos string").write.parquet(f"{tmp_path}/stop_list.parquet")
+    n = {name: QUERIES[name](spark, str(tmp_path)).count() for name in ("all_source_triples", "source_lines_100", "all_source_matrix", "all_similar_sources", "filter_all_similar", "all_pattern_matrix")}
+    assert n == {"all_source_triples": 360, "source_lines_100": 100, "all_source_matrix": 360, "all_similar_sources": 120, "filter_all_similar": 120, "all_pattern_matrix": 360}
+    assert {x.n_terms for x in QUERIES["top_patterns_100"](spark, str(tmp_path)).collect()} == {100}
