@@ -271,14 +271,18 @@ def truncated_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     habits = learn_habits(surveyed)
     known = limits.where("source IS NOT NULL").select(F.col("source").alias("s"), "unit", "size")
     # a text without source may have been cut by the limit of any
-    every = [(x.unit, x.size) for x in known.select("unit", "size").distinct().orderBy("size", "unit").limit(1000).collect()]
+    every: dict[str, set[int]] = {}  # at most one limit for each source
+    for x in known.select("unit", "size").distinct().collect():
+        every.setdefault(x.unit, set()).add(x.size)
     joined = used.join(maybe_broadcast(known, 100_000), F.col("source") == F.col("s"), "left").drop("s")
 
     def at_limit(text: str | None, source: str | None, unit: str | None, size: int | None) -> bool:
         if not text or (source is not None and unit is None):
             return False
         lengths = measure(text)
-        return any(s - SLACK < lengths[u] <= s for u, s in ([(unit, size)] if source is not None else every))
+        if source is not None:
+            return size - SLACK < lengths[unit] <= size
+        return any(lengths[u] + k in sizes for u, sizes in every.items() for k in range(SLACK))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, rows=8192, size=32 << 20):

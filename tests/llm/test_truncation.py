@@ -83,3 +83,12 @@ def test_exposed_limits(spark):
 def test_empty(spark):
     found, sources = truncated_texts(spark.createDataFrame([], SCHEMA))
     assert found.count() == 0 and sources.count() == 0
+
+
+def test_all_limits_hold_without_source(spark):
+    """Also the largest of more than a thousand."""
+    rows = [(f"s{size}", "x" * (size - 1) + ".") for size in range(200, 1210) for _ in range(5)]
+    rows += [(None, "x" * 1207 + " …"), (None, "x" * 1307 + " …")]
+    df = spark.createDataFrame([(i, text, source) for i, (source, text) in enumerate(rows)], "doc_id int, text string, source string")
+    found, _ = truncated_texts(df)
+    assert [(x.doc_id, x.reason) for x in found.collect()] == [(5050, "mark")]
