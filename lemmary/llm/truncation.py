@@ -180,7 +180,11 @@ def learn_habits(surveyed: DataFrame, closing_share: float = 0.0003, abbreviatio
 
 _TAGS = re.compile(r"(?:\s|<(?:/?[A-Za-z!][^<>]*|br\s*/)>)+\Z")
 _OPEN_TAG = re.compile(r"""<(?:[/!]?(?:[A-Za-z][\w-]*(?:\s+[\w:-]+(?:\s*=\s*(?:"[^"<>]*"?|'[^'<>]*'?|[^\s"'<>]*))?)*\s*/?)?)?\Z""")
-_GROUP = re.compile(r"\s*\(([^()]{1,60})\)\Z")
+_BRACKET = re.compile(r"[()]")
+#: As ``_OPEN_TAG``, for any length: attributes are taken one by one, without going back.
+_LONG_OPEN_TAG = re.compile(r"""<[/!]?[A-Za-z][\w-]*(?>\s+[\w:-]+(?:\s*=\s*(?:"[^"<>]*"?|'[^'<>]*'?|[^\s"'<>]*))?)*+\s*/?\Z""")
+#: Characters at the end in which an open tag is sought as ``_OPEN_TAG``.
+NEAR = 210
 _QUOTE = re.compile(r"\s*(?:«([^«»]{1,80})»|“([^“”]{1,80})”|(?<!\S)\"([^\"]{1,80})\")\Z")
 _LAST_WORD = re.compile(rf"\b({_LETTER}+)\.\Z")
 _CLOSERS = "»”\"'’)]}*_"
@@ -191,13 +195,24 @@ _IS_PREDICATES = re.compile(r"\[\d+\]:|[^\s()&]+\([^\s()&]*\)\s*&")
 _ID = re.compile(r"id\(\d+\)\.\Z")
 
 
+def _opening(text: str) -> int:
+    """Where the bracket opens that the last character closes; -1 if it or what is in it is missing."""
+    depth = 0
+    for m in reversed(list(_BRACKET.finditer(text))):
+        depth += 1 if m.group() == ")" else -1
+        if depth == 0:
+            return m.start() if m.start() < len(text) - 2 else -1
+    return -1
+
+
 def _sentence(text: str, habits: Habits, at_limit: bool) -> str | None:
     """Why the last sentence of a prose text is unfinished, or None."""
     text = text.rstrip()
     if not text:
         return None
-    if text.endswith(")") and (m := _GROUP.search(text, max(0, len(text) - 80))):  # a remark in brackets: what stands before it counts
-        return _sentence(text[: m.start()], habits, at_limit) if m.start() else None
+    if text.endswith(")") and (at := _opening(text)) >= 0:  # a remark in brackets: what stands before it counts
+        before = text[:at].rstrip()
+        return _sentence(before, habits, at_limit) if before else None
     if text[-1] in "»”\"" and (m := _QUOTE.search(text, max(0, len(text) - 100))):
         said = next(x for x in m.groups() if x is not None)
         if not said.rstrip() or said.rstrip()[-1] not in _ENDS:
@@ -244,7 +259,9 @@ def broken_off(text: str | None, habits: Habits, at_limit: bool = False) -> str
         break
     if not text:
         return None
-    if _OPEN_TAG.search(text, max(0, len(text) - 210)):
+    if _OPEN_TAG.search(text, max(0, len(text) - NEAR)):
+        return "tag"
+    if 0 <= (at := text.rfind("<")) < len(text) - NEAR and _LONG_OPEN_TAG.match(text, at):
         return "tag"
     if last.startswith("%"):
         return _sentence(last.lstrip("% "), habits, at_limit) if last.strip("% ") else "sentence"

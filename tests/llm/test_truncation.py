@@ -92,3 +92,11 @@ def test_all_limits_hold_without_source(spark):
     df = spark.createDataFrame([(i, text, source) for i, (source, text) in enumerate(rows)], "doc_id int, text string, source string")
     found, _ = truncated_texts(df)
     assert [(x.doc_id, x.reason) for x in found.collect()] == [(5050, "mark")]
+
+
+def test_long_remarks_and_tags():
+    long = "a remark of many words " * 20
+    assert broken_off(f"He left. ({long})", HABITS) is None and broken_off(f"He left. ({long}(with one in it))", HABITS) is None
+    assert broken_off(f"He le ({long})", HABITS) == "sentence" and broken_off(f"({long})", HABITS) is None
+    assert broken_off(f'He left. <a href="x" title="{long}Really.', HABITS) == "tag"
+    assert broken_off(f"He left. <a {'b= c ' * 200}!", HABITS) is None  # in linear time
