@@ -25,10 +25,10 @@ from lemmary.runtime import materialise, maybe_broadcast
 
 #: Characters around a limit: a cut can remove part of a character, or a closing blank.
 SLACK = 4
-#: Longest line that can be a closing line, and one more.
-LINE = 61
 #: Counters a task holds before it hands them on.
 KEYS_HELD = 400_000
+#: Characters of last lines a task holds before it hands them on.
+LINES_HELD = 16 << 20
 
 
 #: From plain to unusual: of equally crowded units the first is taken.
@@ -84,6 +84,7 @@ def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([*columns, pa.array(list(seen.values()), pa.int64())], names=["kind", "source", "what", "of", "n"])
 
     seen: Counter[tuple[str, str | None, str, int]] = Counter()
+    held = 0
     for t in chunks(batches, rows=8192, size=32 << 20):
         for source, text in zip(t.column("source").to_pylist(), t.column("text").to_pylist(), strict=True):
             same: dict[int, int] = {}  # most units agree on most texts
@@ -95,7 +96,8 @@ def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head, _, last = text.rpartition("\n")
             if head.strip() and last.strip():
                 # of a text under several identifiers, one
-                seen["close", None, last.strip()[:LINE], xxhash.xxh64_intdigest(head) & 0x7FFFFFFFFFFFFFFF] = 1
+                seen["close", None, last.strip(), xxhash.xxh64_intdigest(head) & 0x7FFFFFFFFFFFFFFF] = 1
+                held += len(last)
             for word, after in _STOP.findall(text):
                 seen["go" if after.islower() or after.isdigit() else "stop", None, word.lower(), 0] += 1
             if "…" in text or "..." in text:
@@ -103,9 +105,9 @@ def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if lead := _before_last(text, m.start()):
                         seen["dots", None, lead, 0] += 1
         seen["text", None, "", 0] += t.num_rows
-        if len(seen) > KEYS_HELD:
+        if len(seen) > KEYS_HELD or held > LINES_HELD:
             yield batch(seen)
-            seen = Counter()
+            seen, held = Counter(), 0
     if seen:
         yield batch(seen)
 
@@ -150,7 +152,7 @@ class Habits:
 
 
 def learn_habits(surveyed: DataFrame, closing_share: float = 0.0003, abbreviation_share: float = 0.0003, dots_share: float = 0.001) -> Habits:
-    """Closing lines: short last lines of at least 3 different texts and the share
+    """Closing lines: last lines of at least 3 different texts and the share
     ``closing_share`` of all, that are not the beginning of other last lines (which
     pieces of lines are, where cuts fall at random); abbreviations: words whose full stop is mostly followed
     by a small letter or digit; ``dots``: the two words before the last word of a
@@ -163,7 +165,7 @@ def learn_habits(surveyed: DataFrame, closing_share: float = 0.0003, abbreviatio
     def take(kind: str, least: float) -> dict[str, int]:  # bounded: each has a least share of a total
         return {x.what: x.n for x in counted.where((F.col("kind") == kind) & (F.col("n") >= least)).collect()}
 
-    closings = {c: n for c, n in take("close", max(3, closing_share * texts)).items() if len(c) < LINE}
+    closings = take("close", max(3, closing_share * texts))
     if closings:
         sizes = F.array(*[F.lit(k) for k in sorted({len(c) for c in closings})])
         starts = F.transform(F.filter(sizes, lambda k: k < F.length("what")), lambda k: F.substring(F.col("what"), F.lit(1), k))

@@ -100,3 +100,10 @@ def test_long_remarks_and_tags():
     assert broken_off(f"He le ({long})", HABITS) == "sentence" and broken_off(f"({long})", HABITS) is None
     assert broken_off(f'He left. <a href="x" title="{long}Really.', HABITS) == "tag"
     assert broken_off(f"He left. <a {'b= c ' * 200}!", HABITS) is None  # in linear time
+
+
+def test_long_closing_lines(spark):
+    sign = "Sent by the desk of the morning paper to all who read it every day of the week"
+    rows = [(i, f"Story {i} of the day ends.\n{sign}", "a") for i in range(6)] + [(9, f"Story of the ni\n{sign}", "a"), (10, "It ends.", "a")]
+    found, _ = truncated_texts(spark.createDataFrame(rows, "doc_id int, text string, source string"))
+    assert [(x.doc_id, x.reason) for x in found.collect()] == [(9, "sentence")]
