@@ -4,8 +4,9 @@ A column that was written into a field of fixed size shows a crowd of texts at o
 length, but only in the unit the field was measured in. So each text's length is
 recomputed under several encodings, entity and JSON escaping and newline
 conversion; lengths are counted by source, and a crowd with almost nothing beyond
-it exposes the limit. Then endings are inspected: what is a closing line, an
-abbreviation or a natural ellipsis is learned from the whole corpus.
+it exposes the limit. Then endings are inspected, each in the light of its source's
+limit: what is a closing line, an abbreviation, a natural ellipsis or a source that
+writes without marks is learned from the whole corpus.
 """
 
 from __future__ import annotations
@@ -71,7 +72,23 @@ _PURE_MARK = re.compile(r"[\W_]+")
 
 def _before_last(text: str, end: int) -> str:
     """The two words before the last word that ends at ``end``."""
-    return " ".join(text[max(0, end - 300) : end].lower().split()[-3:-1])
+    found: list[str] = []
+    while end > 0 and len(found) < 3:
+        end = _rstrip(text, end)
+        start = end
+        while start > 0 and not text[start - 1].isspace():
+            start -= 1
+        if start < end:
+            found.append(text[start:end].lower())
+        end = start
+    return " ".join(reversed(found[1:]))
+
+
+def _rstrip(text: str, end: int, marks: str | None = None) -> int:
+    """Where ``text[:end]`` ends without white space, or without ``marks``."""
+    while end > 0 and (text[end - 1].isspace() if marks is None else text[end - 1] in marks):
+        end -= 1
+    return end
 
 
 def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,15 +197,10 @@ def learn_habits(surveyed: DataFrame, closing_share: float = 0.0003, abbreviatio
     return Habits(set(closings), {w for w, n in go.items() if n > stop.get(w, 0)}, set(dots) if informative else None)
 
 
-_TAGS = re.compile(r"(?:\s|<(?:/?[A-Za-z!][^<>]*|br\s*/)>)+\Z")
-_OPEN_TAG = re.compile(r"""<(?:[/!]?(?:[A-Za-z][\w-]*(?:\s+[\w:-]+(?:\s*=\s*(?:"[^"<>]*"?|'[^'<>]*'?|[^\s"'<>]*))?)*\s*/?)?)?\Z""")
-_BRACKET = re.compile(r"[()]")
-#: As ``_OPEN_TAG``, for any length: attributes are taken one by one, without going back.
-_LONG_OPEN_TAG = re.compile(r"""<[/!]?[A-Za-z][\w-]*(?>\s+[\w:-]+(?:\s*=\s*(?:"[^"<>]*"?|'[^'<>]*'?|[^\s"'<>]*))?)*+\s*/?\Z""")
-#: Characters at the end in which an open tag is sought as ``_OPEN_TAG``.
-NEAR = 210
-_QUOTE = re.compile(r"\s*(?:«([^«»]{1,80})»|“([^“”]{1,80})”|(?<!\S)\"([^\"]{1,80})\")\Z")
-_LAST_WORD = re.compile(rf"\b({_LETTER}+)\.\Z")
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*>|<br\s*/>")
+#: Attributes are taken one by one, without going back: linear in the tag's length.
+_OPEN_TAG = re.compile(r"""<(?:[/!]?(?:[A-Za-z][\w-]*(?>\s+[\w:-]+(?:\s*=\s*(?:"[^"<>]*"?|'[^'<>]*'?|[^\s"'<>]*))?)*+\s*/?)?)?\Z""")
+_QUOTES = {"»": "«", "”": "“", '"': '"'}
 _CLOSERS = "»”\"'’)]}*_"
 _ENDS = ".!?…。！？؟"
 _PREDICATE = r"(?:\[[^\[\]\s]*\]:)?[^\s()\[\]&]+\([^\s()&]*\)"
@@ -197,48 +209,87 @@ _IS_PREDICATES = re.compile(r"\[\d+\]:|[^\s()&]+\([^\s()&]*\)\s*&")
 _ID = re.compile(r"id\(\d+\)\.\Z")
 
 
-def _opening(text: str) -> int:
-    """Where the bracket opens that the last character closes; -1 if it or what is in it is missing."""
-    depth = 0
-    for m in reversed(list(_BRACKET.finditer(text))):
-        depth += 1 if m.group() == ")" else -1
+def _without_tags(text: str, end: int) -> int:
+    """Where ``text[:end]`` ends without closing tags and white space."""
+    while True:
+        end = _rstrip(text, end)
+        if not end or text[end - 1] != ">":
+            return end
+        at = text.rfind("<", 0, end)
+        if at < 0 or not _TAG.fullmatch(text, at, end):
+            return end
+        end = at
+
+
+def _bracket(text: str, end: int) -> int:
+    """Where the bracket opens that ``text[end - 1]`` closes; -1 if it or what is in it is missing."""
+    depth = 1
+    opens, closes = text.rfind("(", 0, end - 1), text.rfind(")", 0, end - 1)
+    while opens >= 0:
+        if closes > opens:
+            depth += 1
+            closes = text.rfind(")", 0, closes)
+            continue
+        depth -= 1
         if depth == 0:
-            return m.start() if m.start() < len(text) - 2 else -1
+            return opens if opens < end - 2 else -1
+        opens = text.rfind("(", 0, opens)
     return -1
 
 
+def _quotation(text: str, end: int) -> int:
+    """Where the quotation opens that ``text[end - 1]`` closes; -1 if there is none."""
+    mark = text[end - 1]
+    at = text.rfind(_QUOTES[mark], 0, end - 1)
+    if at < 0 or at == end - 2 or (mark != '"' and text.find(mark, at, end - 1) >= 0):
+        return -1
+    return -1 if mark == '"' and at and not text[at - 1].isspace() else at
+
+
+def _is_abbreviation(text: str, end: int, habits: Habits) -> bool:
+    """True if the letters before ``text[end]``, a full stop, are a known abbreviation."""
+    start = end
+    while start > 0 and text[start - 1].isalnum() and not text[start - 1].isdecimal():
+        start -= 1
+    if start == end or (start and (text[start - 1].isalnum() or text[start - 1] == "_")):
+        return False
+    return text[start:end].lower() in habits.abbreviations
+
+
 def _sentence(text: str, habits: Habits, at_limit: bool) -> str | None:
-    """Why the last sentence of a prose text is unfinished, or None."""
-    text = text.rstrip()
-    if not text:
-        return None
-    if text.endswith(")") and (at := _opening(text)) >= 0:  # a remark in brackets: what stands before it counts
-        before = text[:at].rstrip()
-        return _sentence(before, habits, at_limit) if before else None
-    if text[-1] in "»”\"" and (m := _QUOTE.search(text, max(0, len(text) - 100))):
-        said = next(x for x in m.groups() if x is not None)
-        if not said.rstrip() or said.rstrip()[-1] not in _ENDS:
+    """Why the last sentence of a prose text is unfinished, or None. The text is looked
+    at from its end, as far back as a remark or quotation at its end reaches."""
+    end = len(text)
+    while end := _rstrip(text, end):
+        last = text[end - 1]
+        if last == ")" and (at := _bracket(text, end)) >= 0:  # a remark in brackets: what stands before it counts
+            end = at
+            continue
+        if last in _QUOTES and (at := _quotation(text, end)) >= 0:
+            said = _rstrip(text, end - 1)
+            if said <= at + 1 or text[said - 1] not in _ENDS:
+                return "sentence"
+            before = _rstrip(text, at)
+            # "He said: 'Go.'", "he said 'Go.'"; after a sentence it is one of its own
+            if not before or text[before - 1] not in _ENDS + _CLOSERS:
+                return None
+            end = before
+            continue
+        bare = _rstrip(text, _rstrip(text, end, _CLOSERS))
+        if not bare or text[bare - 1] not in _ENDS:
             return "sentence"
-        before = text[: m.start()].rstrip()
-        # "He said: 'Go.'", "he said 'Go.'"; after a sentence it is one of its own
-        return _sentence(before, habits, at_limit) if before and before[-1] in _ENDS + _CLOSERS else None
-    bare = text.rstrip(_CLOSERS).rstrip()
-    if not bare or bare[-1] not in _ENDS:
-        return "sentence"
-    dots = "…" if bare.endswith("…") else "..." if bare.endswith("...") else ""
-    if dots:
-        rest = bare[: -len(dots)].rstrip()
-        if rest and rest[-1] in ".!?":  # put after a whole sentence
-            return _sentence(rest, habits, False)
-        if at_limit:
-            return "mark"
-        if habits.dots is not None and _before_last(bare, len(bare) - len(dots)) not in habits.dots:
-            return "mark"
-        return None
-    if bare[-1] == ".":
-        word = _LAST_WORD.search(bare, max(0, len(bare) - 64))
-        if word and word.group(1).lower() in habits.abbreviations:
-            return "abbreviation"
+        dots = 1 if text[bare - 1] == "…" else 3 if text.endswith("...", 0, bare) else 0
+        if dots:
+            rest = _rstrip(text, bare - dots)
+            if rest and text[rest - 1] in ".!?":  # put after a whole sentence
+                end, at_limit = rest, False
+                continue
+            if at_limit:
+                return "mark"
+            if habits.dots is not None and _before_last(text, bare - dots) not in habits.dots:
+                return "mark"
+            return None
+        return "abbreviation" if text[bare - 1] == "." and _is_abbreviation(text, bare - 1, habits) else None
     return None
 
 
@@ -250,20 +301,19 @@ def broken_off(text: str | None, habits: Habits, at_limit: bool = False) -> str
         return None
     if text.endswith("�"):
         return "character"
+    end = len(text)
     while True:
-        if text.endswith(">"):
-            text = _TAGS.sub("", text)
-        head, _, last = text.rpartition("\n")
-        last = last.strip()
-        if head.strip() and (last in habits.closings or (_PURE_MARK.fullmatch(last) and not set(last) & set(_ENDS + "«»“”\"()[]<>&%"))):
-            text = head.rstrip()
+        end = _without_tags(text, end)
+        start = text.rfind("\n", 0, end) + 1
+        last, head = text[start:end].strip(), _rstrip(text, start)
+        if head and (last in habits.closings or (_PURE_MARK.fullmatch(last) and not set(last) & set(_ENDS + "«»“”\"()[]<>&%"))):
+            end = head
             continue
         break
+    text = text[:end]
     if not text:
         return None
-    if _OPEN_TAG.search(text, max(0, len(text) - NEAR)):
-        return "tag"
-    if 0 <= (at := text.rfind("<")) < len(text) - NEAR and _LONG_OPEN_TAG.match(text, at):
+    if (at := text.rfind("<")) >= 0 and _OPEN_TAG.match(text, at):
         return "tag"
     if last.startswith("%"):
         return _sentence(last.lstrip("% "), habits, at_limit) if last.strip("% ") else "sentence"
@@ -271,7 +321,11 @@ def broken_off(text: str | None, habits: Habits, at_limit: bool = False) -> str
         return None if _ID.match(last) else "predicate"
     if _IS_PREDICATES.match(last) or (last.startswith("[") and re.search(r"^(?:%|id\(\d+\)\.)", text, re.M)):
         return None if _PREDICATES.match(last) else "predicate"
-    return _sentence(html.unescape(text) if "&" in text[-200:] else text, habits, at_limit)
+    return _sentence(html.unescape(text) if "&" in text else text, habits, at_limit)
+
+
+#: Texts off its limit that a source needs, besides, before its habit is believed.
+DOUBT = 30
 
 
 def truncated_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -283,6 +337,11 @@ def truncated_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     not break off but are counted in ``texts``; NULL is a source of its own, for
     which the limits of all sources hold; repeated rows count each. Whole texts are
     read. Columns besides those named are not.
+
+    Exposed limits take part in three ways: an ellipsis at a limit was put after the
+    cut, whatever words stand before it; they tell where a text was cut; and
+    where most texts of a source end without any mark (titles, lists, verse) that is
+    how it writes, so there a missing mark counts at its limit only.
     """
     used = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     surveyed = survey(used)
@@ -313,7 +372,21 @@ def truncated_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     id_type = used.schema["id"].dataType.simpleString()
     judged = joined.select("id", "source", "unit", "size", "text").mapInArrow(run, f"id {id_type}, source string, unit string, size int, at boolean, reason string")
-    found = judged.where("reason IS NOT NULL")
+    judged = materialise(judged, "judged")  # read twice, without its texts
+    off = ~F.col("at")
+    missing = F.coalesce(F.col("reason") == "sentence", F.lit(False))
+    by_source = judged.groupBy("source").agg(
+        F.first("unit", True).alias("unit"),
+        F.first("size", True).alias("size"),
+        F.count("*").alias("texts"),
+        F.count("reason").alias("broken"),
+        F.count(F.when(off & missing, 1)).alias("unmarked"),
+        F.count(F.when(off, 1)).alias("off"),
+    )
+    by_source = materialise(by_source.withColumn("writes_so", F.col("unmarked") * 2 > F.col("off") + DOUBT), "sources")
+    free = by_source.where("writes_so").select(F.col("source").alias("s"))
+    found = judged.where("reason IS NOT NULL").join(maybe_broadcast(free, 100_000), F.col("source").eqNullSafe(F.col("s")) & off & missing, "left_anti")
     at_size = lambda c: F.when(F.col("at"), F.col(c)).alias(c)
-    by_source = judged.groupBy("source").agg(F.first("unit", True).alias("unit"), F.first("size", True).alias("size"), F.count("*").alias("texts"), F.count("reason").alias("truncated"))
-    return found.select(F.col("id").alias(id_col), "source", "reason", at_size("unit"), at_size("size")), by_source.withColumn("share", F.col("truncated") / F.col("texts"))
+    truncated = F.col("broken") - F.when(F.col("writes_so"), F.col("unmarked")).otherwise(0)
+    by_source = by_source.select("source", "unit", "size", "texts", truncated.alias("truncated"), (truncated / F.col("texts")).alias("share"))
+    return found.select(F.col("id").alias(id_col), "source", "reason", at_size("unit"), at_size("size")), by_source

@@ -107,3 +107,39 @@ def test_long_closing_lines(spark):
     rows = [(i, f"Story {i} of the day ends.\n{sign}", "a") for i in range(6)] + [(9, f"Story of the ni\n{sign}", "a"), (10, "It ends.", "a")]
     found, _ = truncated_texts(spark.createDataFrame(rows, "doc_id int, text string, source string"))
     assert [(x.doc_id, x.reason) for x in found.collect()] == [(9, "sentence")]
+
+
+def test_tags_and_words_of_any_length():
+    for n in (20, 300, 5_000):
+        assert broken_off(f'A full sentence. <a href="http://{"x" * n}.', HABITS) == "tag"
+        assert broken_off(f'A full sentence. <a title="{"word " * (n // 5)}end.', HABITS) == "tag"
+    assert broken_off("It costs " + "x" * 500 + ".", Habits(set(), {"x" * 500}, None)) == "abbreviation"
+    assert broken_off(f"They would not {'x' * 400}…", HABITS) is None and broken_off(f"They could not {'x' * 400}…", HABITS) == "mark"
+
+
+def test_quotations_of_any_length():
+    long = "they went on and on, " * 50
+    assert broken_off(f"«{long}he said.»", HABITS) is None and broken_off(f"«{long}he said»", HABITS) == "sentence"
+    assert broken_off(f'He left. "{long}she said."', HABITS) is None and broken_off(f'He le "{long}she said.', HABITS) is None
+
+
+def test_entities_are_read_anywhere():
+    assert broken_off("He said: &quot;" + "so it is. " * 60 + '"', HABITS) is None
+
+
+def test_endless_endings():
+    """Remarks, quotations, closing lines and tags by the hundred thousand take linear time."""
+    for piece in (" (a.)", " «a.»", "\n***", "</p>", ")", " <", "…", " "):
+        broken_off("It ends." + piece * 100_000, HABITS)
+        broken_off("It en" + piece * 100_000, HABITS)
+
+
+def test_sources_that_write_without_marks(spark):
+    """There a missing mark counts at the limit only."""
+    rows = [(i, f"headline of the day number {i:04} and {'more ' * (i % 9)}".strip(), "titles") for i in range(200)]
+    rows += [(1000 + i, ("headline of the long day " * 9)[:120], "titles") for i in range(100)]
+    rows += [(2000 + i, f"Story {i} ends {'so ' * (i % 7)}well.", "prose") for i in range(200)] + [(3000, "Story of the ni", "prose")]
+    found, sources = truncated_texts(spark.createDataFrame(rows, "doc_id int, text string, source string"))
+    got = {(x.doc_id, x.reason, x.unit) for x in found.collect()}
+    assert got == {(1000 + i, "sentence", "chars") for i in range(100)} | {(3000, "sentence", None)}
+    assert {x.source: x.truncated for x in sources.collect()} == {"titles": 100, "prose": 1}
