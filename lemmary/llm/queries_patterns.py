@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmary.llm.enrichment import term_enrichment
 from lemmary.llm.patterns import RECORD, scored_rows
 from lemmary.llm.topn import top_n
+from lemmary.runtime import materialise
 from lemmary.sources.tables import table
 
 
@@ -25,17 +26,32 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return best.select(*RECORD, "b.pattern")
 
 
+def _best() -> list[Column]:
+    """The order of problem 6: ties go to the larger freq, then to the smaller pattern."""
+    return [F.desc("norm_freq"), F.desc("freq"), F.asc("pattern")]
+
+
+def _scored(spark: SparkSession, base: str) -> DataFrame:
+    """Scored rows, found once and written: their groups are counted before they are ranked."""
+    return materialise(scored_rows(table(spark, base, "pattern_result")), "scored")
+
+
+def p6_run_patterns(spark: SparkSession, base: str) -> DataFrame:
+    """The 100 best scored patterns of each run; a run holds a large part of all rows."""
+    order = [*_best(), F.asc("key_term")]
+    return top_n(_scored(spark, base), ["run_id"], order, 100, heavy_rows=1_000)
+
+
 def p6_top_patterns(spark: SparkSession, base: str) -> DataFrame:
     """The 3 scored patterns of each record with the highest norm_freq, ranked."""
-    rows = scored_rows(table(spark, base, "pattern_result"))
-    return top_n(rows, RECORD, [F.desc("norm_freq"), F.desc("freq"), F.asc("pattern")], 3)
+    return top_n(_scored(spark, base), RECORD, _best(), 3)
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return p6_top_patterns(spark, base).select(*RECORD, "pattern")
 
 
-QUERIES = {"p1_found": p1_found, "p1_enrichment": p1_enrichment, "p6_found": p6_found, "p6_top_patterns": p6_top_patterns}
+QUERIES = {"p1_found": p1_found, "p1_enrichment": p1_enrichment, "p6_found": p6_found, "p6_run_patterns": p6_run_patterns, "p6_top_patterns": p6_top_patterns}
 
 _SCORED = """
 WITH s AS (
@@ -54,5 +70,7 @@ ORACLE = {
     FROM s JOIN r ON s.run_id = r.run_id AND s.key_term = r.key_term JOIN p ON s.pattern = p.pattern WHERE r.rows >= 3 AND p.df >= 2)
 SELECT run_id, key_term, pattern FROM t WHERE rn = 1""",
     "p6_found": _TOP + "SELECT run_id, key_term, pattern FROM t WHERE rank <= 3",
+    "p6_run_patterns": _SCORED
+    + "SELECT * FROM (SELECT run_id, key_term, pattern, freq, norm_freq, CAST(row_number() OVER (PARTITION BY run_id ORDER BY norm_freq DESC, freq DESC, pattern, key_term) AS INTEGER) AS rank FROM s) WHERE rank <= 100",
     "p6_top_patterns": _TOP + "SELECT run_id, key_term, pattern, freq, norm_freq, rank FROM t WHERE rank <= 3",
 }
