@@ -9,11 +9,14 @@ baskets of each light item's list. The three partial counts are united and summe
 item and basket counts come from the same pass.
 
 Which items are heavy only steers the work inside a chunk; every pair is counted.
+Partial counts are handed on whenever a task holds many distinct pairs, so its memory
+is bounded in pairs as well as in input.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,86 +29,116 @@ from lemmary.functions.terms import canonical_term, encode
 from lemmary.runtime import is_small, materialise
 
 COUNTS = "context string, a string, b string, n bigint"
-PAIRS_AT_ONCE = 4_000_000
+#: Distinct pairs a task holds before it hands their counts on.
+PAIRS_AT_ONCE = 2_000_000
+#: Baskets in one bit matrix.
+BITS = 1 << 16
 
 
 class _Tally:
-    """Pair codes counted by sorting, folded together when they grow large."""
+    """Pair codes counted by sorting, folded together when they grow large and handed
+    on when that leaves many: memory is bounded however many pairs there are."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
+        self.most = most
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
-        if not len(keys):
-            return
-        if counts is None:
-            keys, counts = np.unique(keys, return_counts=True)
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.held += len(keys)
-        if self.held > PAIRS_AT_ONCE:
-            keys, counts = self.total()
-            self.keys, self.counts, self.held = [keys], [counts], 0
-
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.array([], np.int64), np.array([], np.int64)
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for s in range(0, len(keys), self.most):
+            some = keys[s : s + self.most]
+            n = counts[s : s + self.most] if counts is not None else None
+            if n is None:
+                some, n = np.unique(some, return_counts=True)
+            self.keys.append(some)
+            self.counts.append(n)
+            self.held += len(some)
+            if self.held > self.most:
+                some, n = self._fold()
+                if len(some) * 2 > self.most:
+                    yield some, n
+                    some, n = some[:0], n[:0]
+                self.keys, self.counts, self.held = [some], [n], len(some)
+
+    def _fold(self) -> tuple[np.ndarray, np.ndarray]:
         keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
-        return keys, np.bincount(at, weights=np.concatenate(self.counts)).astype(np.int64)
-
-
-def _pairs(context: np.ndarray, row: np.ndarray, item: np.ndarray, items: int, heavy_share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of (context, a, b) codes; entries are distinct and sorted by row, item."""
-    tally = _Tally()
-    code = context * items + item
-    found, at, n = np.unique(code, return_inverse=True, return_counts=True)
-    is_heavy = n * heavy_share >= max(len(code), 1)
-    is_heavy &= n > 1
-    light = ~is_heavy[at]
-    pair = lambda c, a, b: (c * items + np.minimum(a, b)) * items + np.maximum(a, b)
-
-    l_row, l_item, l_context = row[light], item[light], context[light]
+        n = np.zeros(len(keys), np.int64)
+        np.add.at(n, at, np.concatenate(self.counts))
+        return keys, n
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.held:
+            yield self._fold()
+
+
+def _pairs(context: np.ndarray, row: np.ndarray, item: np.ndarray, items: int, heavy_share: int, most: int = PAIRS_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Partial counts ``context, a, b, n`` of pairs; entries are distinct and sorted by
+    row, item. A pair is coded by the numbers of its two (context, item) among those
+    of the chunk, whose square fits into 64 bits."""
+    tally = _Tally(most)
+    found, code, n = np.unique(context * items + item, return_inverse=True, return_counts=True)
+    width = len(found)
+    is_heavy = (n * heavy_share >= max(len(code), 1)) & (n > 1)
+    light = ~is_heavy[code]
+
+    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.minimum(a, b) * width + np.maximum(a, b)
+
+    def spelled(counted: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for keys, k in counted:
+            a, b = found[keys // width], found[keys % width]
+            yield a // items, a % items, b % items, k
+
+    l_row, l_code = row[light], code[light]
     step = 1
     while step < len(l_row):
         same = l_row[step:] == l_row[:-step]
         if not same.any():
             break
-        tally.add(pair(l_context[step:][same], l_item[:-step][same], l_item[step:][same]))
+        yield from spelled(tally.add(pair(l_code[step:][same], l_code[:-step][same])))
         step += 1
 
-    heavy = found[is_heavy]
-    for c in np.unique(heavy // items):
-        rows = heavy[heavy // items == c]
+    heavy = np.flatnonzero(is_heavy)
+    h_context = found[heavy] // items
+    l_context = context[light]
+    for c in np.unique(h_context):
+        rows = heavy[h_context == c]
         inside = ~light & (context == c)
-        baskets, local = np.unique(row[inside], return_inverse=True)
-        which = np.searchsorted(rows, code[inside])
-        bits = np.zeros((len(rows), (len(baskets) + 63) // 64 * 64), bool)
-        bits[which, local] = True
-        packed = np.packbits(bits, axis=1).view(np.uint64)
-        for i in range(len(rows) - 1):
-            n = np.bitwise_count(packed[i] & packed[i + 1 :]).sum(axis=1, dtype=np.int64)
-            hit = np.flatnonzero(n)
-            tally.add(pair(c, rows[i] % items, rows[i + 1 :][hit] % items), n[hit])
-        # lists of the light items that share a basket with any heavy one
+        h_row, h_code = row[inside], code[inside]
+        every = np.unique(h_row)
         mine = l_context == c
-        place = np.searchsorted(baskets, l_row[mine])
-        place[place == len(baskets)] = 0
-        shared = baskets[place] == l_row[mine] if len(baskets) else np.zeros(0, bool)
-        place, listed = place[shared], l_item[mine][shared]
-        for i in range(len(rows)):
-            hit = bits[i, place]
-            if hit.any():
-                tally.add(pair(c, rows[i] % items, listed[hit]))
-    return tally.total()
-
-
-def _counter(heavy_share: int, spell):
+        m_row, m_code = l_row[mine], l_code[mine]
+        for s in range(0, len(every), BITS):
+            baskets = every[s : s + BITS]
+            here = slice(*np.searchsorted(h_row, [baskets[0], baskets[-1] + 1]))
+            bits = np.zeros((len(rows), (len(baskets) + 63) // 64 * 64), bool)
+            bits[np.searchsorted(rows, h_code[here]), np.searchsorted(baskets, h_row[here])] = True
+            packed = np.packbits(bits, axis=1).view(np.uint64)
+            for i in range(len(rows) - 1):
+                k = np.bitwise_count(packed[i] & packed[i + 1 :]).sum(axis=1, dtype=np.int64)
+                hit = np.flatnonzero(k)
+                yield from spelled(tally.add(pair(rows[i], rows[i + 1 :][hit]), k[hit]))
+            # lists of the light items that share a basket with any heavy one
+            near = slice(*np.searchsorted(m_row, [baskets[0], baskets[-1] + 1]))
+            place = np.searchsorted(baskets, m_row[near])
+            shared = baskets[place] == m_row[near]
+            place, listed = place[shared], m_code[near][shared]
+            for i in range(len(rows)):
+                hit = bits[i, place]
+                if hit.any():
+                    yield from spelled(tally.add(pair(rows[i], listed[hit])))
+    yield from spelled(tally.rest())
+
+
+COUNTS_NAMES = ["context", "a", "b", "n"]
+
+
+def _counter(heavy_share: int, spell, most: int = PAIRS_AT_ONCE):
     """Columns: context, items; every row is a basket."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(batches):
+        for t in chunks(batches, size=32 << 20):
             t = t.combine_chunks()
             context, contexts = encode(t.column("context"), lambda v: v)
             contexts.append(None)
@@ -118,19 +151,17 @@ def _counter(heavy_share: int, spell):
             entry = np.unique((row * items + item)[item >= 0])
             row, item = entry // items, entry % items
             at = context[row]
-            keys, n = _pairs(at, row, item, items, heavy_share)
             single, single_n = np.unique(at * items + item, return_counts=True)
             whole, whole_n = np.unique(context, return_counts=True)
             c_names, i_names = np.array(contexts, dtype=object), np.array([*names, None], dtype=object)
             none = lambda k: np.full(k, len(names))
-            for c, a, b, n_ in (
-                (keys // (items * items), keys // items % items, keys % items, n),
-                (single // items, single % items, none(len(single)), single_n),
-                (whole, none(len(whole)), none(len(whole)), whole_n),
+            for c, a, b, n_ in chain(
+                [(single // items, single % items, none(len(single)), single_n), (whole, none(len(whole)), none(len(whole)), whole_n)],
+                _pairs(at, row, item, items, heavy_share, most),
             ):
                 for s in range(0, len(c), 100_000):
                     e = slice(s, s + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in ((c_names[c[e]], pa.string()), (i_names[a[e]], pa.string()), (i_names[b[e]], pa.string()), (n_[e], pa.int64()))], names=["context", "a", "b", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in ((c_names[c[e]], pa.string()), (i_names[a[e]], pa.string()), (i_names[b[e]], pa.string()), (n_[e], pa.int64()))], names=COUNTS_NAMES)
 
     return run
 

@@ -99,54 +99,85 @@ def _encoder(width: int, spell):
     return run
 
 
-def _union(t: pa.Table) -> pa.RecordBatch:
-    """Merge the containers of each (term, block) run; the table is sorted by both."""
-    t = t.combine_chunks()
-    term, block = t.column("term").combine_chunks(), ints(t.column("block"))
-    code = term.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    first = np.ones(len(code), bool)
-    first[1:] = (code[1:] != code[:-1]) | (block[1:] != block[:-1])
-    group, starts = np.cumsum(first) - 1, np.flatnonzero(first)
-    kind, n = ints(t.column("kind")), ints(t.column("n"))
+#: Entries that are merged at once; a (term, block) run is never cut.
+ENTRIES = 1 << 21
+
+
+def _dense_union(ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[int, int]:
+    """Cardinality and summed counters of a union of containers of one (term, block):
+    bitmaps are united bit by bit, counters set beside them (the largest of a record)."""
+    bits, most = np.zeros(BLOCK // 8, np.uint8), np.full(BLOCK, np.iinfo(np.int64).min)
+    for low, count in zip(ids, counts, strict=True):
+        if low.dtype == np.uint8:
+            bits |= low
+            low = np.flatnonzero(np.unpackbits(low, bitorder="little"))
+        else:
+            np.bitwise_or.at(bits, low >> 3, (1 << (low & 7)).astype(np.uint8))
+        most[low] = np.maximum(most[low], count)  # a container holds a record once
+    held = np.unpackbits(bits, bitorder="little").view(bool)
+    return int(np.bitwise_count(bits).sum()), int(most[held].sum())
+
+
+def _sparse_union(group: np.ndarray, n: np.ndarray, kind: np.ndarray, ids: pa.Array, counts: pa.Array, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of many small containers at once, by sorting their entries."""
     keys, values = [], []
     for k in np.unique(kind):
         pick = kind == k
         mask = pa.array(pick)
-        ids = t.column("ids").combine_chunks().filter(mask)
-        if k >= 4:
-            bits = np.unpackbits(flat(ids, np.uint8).reshape(-1, BLOCK // 8), axis=1, bitorder="little")
-            low = np.nonzero(bits)[1]
-        else:
-            low = flat(ids, np.uint16).astype(np.int64)
-        keys.append((np.repeat(group[pick], n[pick]) << BLOCK_BITS) | low)
-        values.append(flat(t.column("counts").combine_chunks().filter(mask), WIDTHS[k & 3]).astype(np.int64))
-    key, value = np.concatenate(keys), np.concatenate(values)
-    order = np.lexsort((value, key))
-    key, value = key[order], value[order]
-    last = np.ones(len(key), bool)
-    last[:-1] = key[1:] != key[:-1]  # of unequal deliveries the largest count
-    which = key[last] >> BLOCK_BITS
-    df = np.bincount(which, minlength=len(starts))
-    total = np.zeros(len(starts), np.int64)
-    np.add.at(total, which, value[last])
+        keys.append((np.repeat(group[pick], n[pick]) << BLOCK_BITS) | flat(ids.filter(mask), np.uint16).astype(np.int64))
+        values.append(flat(counts.filter(mask), WIDTHS[k]).astype(np.int64))
+    df, total = np.zeros(groups, np.int64), np.zeros(groups, np.int64)
+    if keys:
+        key, value = np.concatenate(keys), np.concatenate(values)
+        order = np.lexsort((value, key))
+        key, value = key[order], value[order]
+        last = np.ones(len(key), bool)
+        last[:-1] = key[1:] != key[:-1]  # of unequal deliveries the largest count
+        which = key[last] >> BLOCK_BITS
+        df += np.bincount(which, minlength=groups)
+        np.add.at(total, which, value[last])
+    return df, total
+
+
+def _union(t: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+    """Merge the containers of each (term, block) run; ``first`` marks where one starts."""
+    term, ids, counts = (t.column(c).combine_chunks() for c in ("term", "ids", "counts"))
+    group, starts = np.cumsum(first) - 1, np.flatnonzero(first)
+    kind, n = ints(t.column("kind")), ints(t.column("n"))
+    dense = np.zeros(len(starts), bool)
+    dense[group[kind >= 4]] = True
+    small = ~dense[group]
+    mask = pa.array(small)
+    df, total = _sparse_union(group[small], n[small], kind[small], ids.filter(mask), counts.filter(mask), len(starts))
+    ends = np.append(starts[1:], len(group))
+    for g in np.flatnonzero(dense):
+        run = range(starts[g], ends[g])
+        lows = [np.frombuffer(ids[i].as_buffer(), np.uint8 if kind[i] >= 4 else np.uint16) for i in run]
+        df[g], total[g] = _dense_union(lows, [np.frombuffer(counts[i].as_buffer(), WIDTHS[kind[i] & 3]) for i in run])
     return pa.RecordBatch.from_arrays([term.take(pa.array(starts)), pa.array(df, pa.int64()), pa.array(total, pa.int64())], names=["term", "df", "total"])
 
 
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side: runs that reach over a batch's end are carried on."""
+    """Reduce side: whole runs of about ``ENTRIES`` entries are merged at once; a run
+    that reaches over a batch's end is carried on."""
     rest: pa.Table | None = None
     for t in chunks(batches, size=32 << 20):
-        t = pa.concat_tables([rest, t]) if rest is not None else t
-        term, block = t.column("term"), t.column("block")
-        end = t.num_rows - 1
-        last = (term[end], block[end])
-        same = pc.and_(pc.equal(block, last[1]), pc.equal(term, last[0]) if last[0].is_valid else pc.is_null(term))
-        at = pc.index(same, True).as_py()
-        if at > 0:
-            yield _union(t.slice(0, at))
+        t = (pa.concat_tables([rest, t]) if rest is not None else t).combine_chunks()
+        code = t.column("term").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        block = ints(t.column("block"))
+        first = np.ones(len(code), bool)
+        first[1:] = (code[1:] != code[:-1]) | (block[1:] != block[:-1])
+        starts = np.flatnonzero(first)
+        before = np.concatenate([[0], np.cumsum(ints(t.column("n")))])
+        at = 0
+        while at < starts[-1]:
+            # the last start within so many entries, one run at least, the last run left
+            end = starts[max(np.searchsorted(before[starts], before[at] + ENTRIES, side="right") - 1, np.searchsorted(starts, at) + 1)]
+            yield _union(t.slice(at, end - at), first[at:end])
+            at = end
         rest = t.slice(at)
     if rest is not None:
-        yield _union(rest)
+        yield _union(rest, np.arange(rest.num_rows) == 0)
 
 
 def term_counts(df: DataFrame, id_col: str, term_cols: list[str], count_col: str, spell=canonical_term) -> DataFrame:

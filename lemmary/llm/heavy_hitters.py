@@ -4,8 +4,9 @@ Code-based identification. Every value has a 64-bit identity (a hash of its
 columns). For each of a few repetitions it falls into one of ``groups`` groups,
 and its identity is written as 24 symbols of 4 bits: two interleaved
 Reed-Solomon (12, 8) words over GF(16), each of which corrects two wrong
-symbols. A sketch holds the weight per (repetition, group, position, symbol), so
-its size is fixed. Where one value holds more than half a group's weight, the
+symbols. A sketch holds the weight per (repetition, group, position, symbol) in
+whole numbers, so its size is fixed and its sums are exact; sketches of tasks are added
+up in two steps, each as a stream. Where one value holds more than half a group's weight, the
 heaviest symbol at each position spells its identity.
 
 Decoded identities are then counted exactly in a second pass. What is left of a
@@ -18,11 +19,13 @@ exactly, so the result is exact in every case.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,50 +168,116 @@ class _Doubt:
         return keep
 
 
+#: Groups whose cells travel together.
+TOGETHER = 64
+
+
+def _whole_sum(weight: np.ndarray) -> int:
+    """The sum of int64 weights as a number of any size."""
+    return (int((weight >> 32).sum()) << 32) + int((weight & 0xFFFFFFFF).sum())
+
+
+def _fits(total: int) -> None:
+    if total >= 1 << 63:
+        raise OverflowError("weights sum to more than 64 bits")
+
+
+def _sums(at: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Exact sums of weights by position: halves of them, whose sums a float holds."""
+    if not len(weight) or int(weight.max()) * len(weight) < 1 << 53:
+        return np.bincount(at, weights=weight, minlength=n).astype(np.int64)
+    high, low = (np.bincount(at, weights=w, minlength=n).astype(np.int64) for w in (weight >> 32, weight & 0xFFFFFFFF))
+    return (high << 32) + low
+
+
 def _sketcher(width: int, as_term, groups: int, seeds: list[int], doubt: _Doubt):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros((len(seeds), POSITIONS, groups * SYMBOLS))
-        total = 0
+        sketch = np.zeros((len(seeds), POSITIONS, groups * SYMBOLS), np.int64)
+        total = whole_mass = 0
         for t in chunks(batches):
             identity, whole, _, _ = _identities(t, width, as_term)
             weight = np.maximum(ints(t.column(width)), 0)
             pick = whole & (weight > 0) & doubt(identity)
-            identity, weight = identity[pick], weight[pick].astype(np.float64)
+            identity, weight = identity[pick], weight[pick]
             total += len(identity)
+            whole_mass += _whole_sum(weight)
+            _fits(whole_mass)
             coded = symbols(identity)
             for r, seed in enumerate(seeds):
                 at = group_of(identity, seed, groups) * SYMBOLS
                 for p in range(POSITIONS):
-                    sketch[r, p] += np.bincount(at + coded[p], weights=weight, minlength=groups * SYMBOLS)
+                    sketch[r, p] += _sums(at + coded[p], weight, groups * SYMBOLS)
         if total:
+            task = TaskContext.get().partitionId() if TaskContext.get() else 0
             cut = np.ascontiguousarray(sketch.reshape(len(seeds), POSITIONS, groups, SYMBOLS).transpose(0, 2, 1, 3))
             for r in range(len(seeds)):
-                for g in range(0, groups, 64):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r], pa.int32()), pa.array([g], pa.int32()), pa.array([cut[r, g : g + 64].tobytes()], pa.binary())],
-                        names=["rep", "first", "cells"],
-                    )
+                for g in range(0, groups, TOGETHER):
+                    yield _cells(r, g, task, cut[r, g : g + TOGETHER])
 
     return run
 
 
-def _decode(t: pa.Table) -> pa.Table:
-    """Sum the sketches of 64 groups and spell each group's heaviest symbols."""
-    cells = np.sum([np.frombuffer(c, np.float64) for c in t.column("cells").to_pylist()], axis=0).reshape(-1, POSITIONS, SYMBOLS)
-    rep, first = t.column("rep")[0].as_py(), t.column("first")[0].as_py()
-    out = []
-    for g, cell in enumerate(cells):
-        mass = float(cell[0].sum())
-        if mass <= 0:
-            continue
-        word = cell.argmax(axis=1).tolist()
-        parts = [_correct(word[:12]), _correct(word[12:])]
-        found = None
-        if parts[0] is not None and parts[1] is not None:
-            found = sum(v << (32 * w + 4 * p) for w in range(2) for p, v in enumerate(parts[w]))
-            found = found - (1 << 64) if found >= 1 << 63 else found
-        out.append((rep, first + g, mass, found))
-    return pa.table([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int64()))], names=["rep", "grp", "mass", "identity"])
+SKETCH = "rep int, first int, task int, cells binary"
+
+
+def _cells(rep: int, first: int, task: int, cells: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([rep], pa.int32()), pa.array([first], pa.int32()), pa.array([task], pa.int32()), pa.array([cells.tobytes()], pa.binary())],
+        names=["rep", "first", "task", "cells"],
+    )
+
+
+def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Sums of the cells of each (repetition, groups); a task holds one sketch at most."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    least: dict[tuple[int, int], int] = {}
+    for b in batches:
+        for i in range(b.num_rows):
+            key = b.column("rep")[i].as_py(), b.column("first")[i].as_py()
+            cells = np.frombuffer(b.column("cells")[i].as_buffer(), np.int64)
+            task = b.column("task")[i].as_py()
+            if key in sums:
+                sums[key] += cells
+                least[key] = min(least[key], task)
+                if (sums[key] < 0).any():
+                    raise OverflowError("weights sum to more than 64 bits")
+            else:
+                sums[key], least[key] = cells.copy(), task
+    for key, cells in sums.items():
+        yield *key, least[key], cells
+
+
+def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rep, first, task, cells in _added(batches):
+        yield _cells(rep, first, task, cells)
+
+
+def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum what is left of sketches and spell each group's heaviest symbols."""
+    for rep, first, _, cells in _added(batches):
+        out = []
+        for g, cell in enumerate(cells.reshape(-1, POSITIONS, SYMBOLS)):
+            mass = int(cell[0].sum())
+            if mass <= 0:
+                continue
+            word = cell.argmax(axis=1).tolist()
+            parts = [_correct(word[:12]), _correct(word[12:])]
+            found = None
+            if parts[0] is not None and parts[1] is not None:
+                found = sum(v << (32 * w + 4 * p) for w in range(2) for p, v in enumerate(parts[w]))
+                found = found - (1 << 64) if found >= 1 << 63 else found
+            out.append((rep, first + g, mass, found))
+        columns = [pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["rep", "grp", "mass", "identity"])
+
+
+def _spelled(sketches: DataFrame, tasks: int) -> DataFrame:
+    """``rep, grp, mass, identity`` of the summed sketches. With many tasks about the
+    square root of their number is added up at a time."""
+    few = math.isqrt(max(tasks, 1))
+    if few > 4:
+        sketches = sketches.repartition("rep", "first", F.pmod("task", F.lit(few))).mapInArrow(_merge, SKETCH)
+    return sketches.repartition("rep", "first").mapInArrow(_decode, "rep int, grp int, mass bigint, identity bigint")
 
 
 def _picker(width: int, as_term, wanted: np.ndarray | None, doubt: _Doubt | None):
@@ -250,7 +319,8 @@ def heaviest_values(
     ``cols`` and ``total``.
 
     Columns named in ``term_cols`` are spelled canonically first; a row with a
-    NULL (or no term) in any of ``cols`` is not counted. Rows of one ``id_col``
+    NULL (or no term) in any of ``cols`` is not counted; weights that sum to more than
+    64 bits raise an error. Rows of one ``id_col``
     and one value are deliveries of one record and count once (the largest
     weight); rows without identifier count each. NULL weights add 0, negative
     weights subtract. Ties at the k-th place go to the smaller values in order.
@@ -261,14 +331,14 @@ def heaviest_values(
     used = df.select(*[F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(cols)], F.col(weight_col).cast("bigint").alias("weight"), F.col(id_col).alias("id"))
     as_term = tuple(c in term_cols for c in cols)
     kind = T.StructType([*[T.StructField(f"v{i}", T.StringType()) for i in range(width)], T.StructField("identity", T.LongType()), T.StructField("weight", T.LongType()), T.StructField("id", used.schema["id"].dataType)])
-    known: dict[int, float] = {}
+    known: dict[int, int] = {}
     counted: list[DataFrame] = []
     sums: list[int] = []
     doubt = _Doubt([])
     for turn in range(rounds):
         seeds = [1 + turn * repetitions + r for r in range(repetitions)]
-        sketches = fan_in(used).mapInArrow(_sketcher(width, as_term, groups, seeds, doubt), "rep int, first int, cells binary")
-        spelled = sketches.groupBy("rep", "first").applyInArrow(_decode, "rep int, grp int, mass double, identity bigint").collect()  # at most repetitions * groups rows
+        sketches = fan_in(used).mapInArrow(_sketcher(width, as_term, groups, seeds, doubt), SKETCH)
+        spelled = _spelled(sketches, 2 * spark.sparkContext.defaultParallelism).collect()  # at most repetitions * groups rows
         mass = {(x.rep, x.grp): x.mass for x in spelled}
         fresh = np.array(sorted({x.identity for x in spelled if x.identity is not None} - set(known)), np.int64)
         if len(fresh):
@@ -280,17 +350,17 @@ def heaviest_values(
                 sums.append(x.total)
         floor = sorted(sums, reverse=True)[k - 1] if len(sums) >= k else 0
         seen = np.array(list(known), np.int64).view(np.uint64)
-        seen_mass = np.array(list(known.values()), float)
+        seen_mass = np.array(list(known.values()), np.int64)
         seen_in = doubt(seen) if len(seen) else np.array([], bool)
         left = []
         for r, seed in enumerate(seeds):
-            rest = np.zeros(groups)
+            rest = np.zeros(groups, np.int64)
             for (rep, g), m in mass.items():
                 if rep == r:
                     rest[g] = m
             if len(seen):
                 np.subtract.at(rest, group_of(seen[seen_in], seed, groups), seen_mass[seen_in])
-            left.append((seed, rest >= max(floor, 1) - 0.5))
+            left.append((seed, rest >= max(floor, 1)))
         doubt = _Doubt([*doubt.rounds, (groups, left)])
         if any(not open_.any() for _, open_ in left):
             break
@@ -301,7 +371,8 @@ def heaviest_values(
             others = others.where(~F.col("identity").isin(list(known))) if len(known) < 1000 else others.join(F.broadcast(spark.createDataFrame([(x,) for x in known], "identity bigint")), "identity", "left_anti").select(others.columns)
         counted.append(_count(others, width))
     if len(sums) < k:
-        # fewer decoded values than asked for (small or flat tables): group everything
+        # fewer values of any weight than asked for, or nothing but equal ones: group
+        # everything, as an aggregation that spills
         counted = [_count(used.mapInArrow(_picker(width, as_term, None, _Doubt([])), kind), width)]
     if not counted:
         return spark.createDataFrame([], T.StructType([*[T.StructField(c, T.StringType()) for c in cols], T.StructField("total", T.LongType())]))

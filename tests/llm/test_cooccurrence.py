@@ -4,10 +4,12 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from lemmary.functions.terms import canonical_term
-from lemmary.llm.cooccurrence import _delivered_once, item_pairs
+from lemmary.llm import cooccurrence
+from lemmary.llm.cooccurrence import _delivered_once, _pairs, item_pairs
 
 SCHEMA = "rel string, tid bigint, arg1 string, arg2 string, arg3 string, context string, n int"
 
@@ -63,3 +65,40 @@ def test_many_redelivered_baskets(spark):
     for few in (10, 10**6):
         got = _delivered_once(used, few).collect()
         assert sorted((x.basket is None, x.basket or 0, x["items"][1]) for x in got) == sorted({(False, b, i[1]) for _, b, i in rows if b is not None}) + sorted((True, 0, i[1]) for _, b, i in rows if b is None)
+
+
+def test_memory_is_bounded_in_pairs():
+    """Ten thousand wide baskets: partial counts are handed on, their sums are right."""
+    rng = np.random.default_rng(1)
+    bags = [sorted(set(rng.integers(0, 3000, 20).tolist())) for _ in range(2000)]
+    row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    item = np.concatenate([np.array(b) for b in bags])
+    got, parts = Counter(), 0
+    for c, a, b, n in _pairs(row % 3, row, item, 3000, 512, most=10_000):
+        parts += 1
+        assert len(n) <= 20_000
+        got.update(dict(zip(zip(c.tolist(), a.tolist(), b.tolist(), strict=True), n.tolist(), strict=True)))
+    want = Counter((i % 3, *p) for i, bag in enumerate(bags) for p in combinations(bag, 2))
+    assert got == want and parts > 10
+
+
+def test_codes_fit_for_any_contexts_and_items():
+    """Contexts times items squared would not fit into 64 bits."""
+    n = 4_000_000
+    context, row = np.array([n - 1, n - 1, 5, 5]), np.array([0, 0, 1, 1])
+    got = [tuple(map(int, x)) for part in _pairs(context, row, np.array([3, n - 1, 3, n - 2]), n, 0) for x in zip(*part, strict=True)]
+    assert sorted(got) == [(5, 3, n - 2, 1), (n - 1, 3, n - 1, 1)]
+
+
+@pytest.mark.parametrize("share", [0, 40, 10**9])
+def test_blocks_of_baskets(monkeypatch, share):
+    """Bit matrices of few baskets count as one of all does."""
+    monkeypatch.setattr(cooccurrence, "BITS", 64)
+    rng = np.random.default_rng(2)
+    bags = [sorted(set(np.minimum(rng.geometric(0.1, 8), 60).tolist())) for _ in range(500)]
+    row, item = np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.concatenate([np.array(b) for b in bags])
+    got = Counter()
+    for c, a, b, n in _pairs(row % 2, row, item, 61, share):
+        for x in zip(c.tolist(), a.tolist(), b.tolist(), n.tolist(), strict=True):
+            got[x[:3]] += x[3]
+    assert got == Counter((i % 2, *p) for i, bag in enumerate(bags) for p in combinations(bag, 2))

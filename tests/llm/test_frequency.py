@@ -2,9 +2,14 @@
 
 import random
 import unicodedata
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 
 from lemmary.functions.terms import canonical_term
-from lemmary.llm.frequency import term_counts, term_frequencies
+from lemmary.llm import frequency
+from lemmary.llm.frequency import BLOCK, _containers, _dense_union, _merge, term_counts, term_frequencies
 
 SCHEMA = "tid bigint, arg1 string, arg2 string, freq bigint, df string, block int"
 
@@ -54,3 +59,30 @@ def test_long_term(spark):
     rows = [(1, "x" * 1_000_000, None, 1, None, None)]
     got = term_frequencies(spark.createDataFrame(rows, SCHEMA), "tid", ["arg1", "arg2"], "freq").collect()
     assert len(got) == 1 and len(got[0].term) == 1_000_000
+
+
+def test_runs_are_merged_piece_by_piece(monkeypatch):
+    """Containers of one (term, block) from many chunks, dense beside sparse, some
+    delivered twice, in batches and pieces that cut runs anywhere."""
+    monkeypatch.setattr(frequency, "ENTRIES", 5_000)
+    parts = []
+    for start, step in ((0, 1), (1, 3), (0, 7)):
+        ids = np.arange(start, 140_000, step)
+        code = np.concatenate([np.zeros(len(ids), int), 1 + ids % 50, np.full(len(ids), 51)])
+        parts += _containers(code, np.tile(ids, 3), np.tile(ids % 300, 3), ["hot", *(f"w{j:02}" for j in range(50))])
+    t = pa.Table.from_batches(parts).sort_by([("term", "ascending"), ("block", "ascending")])
+    for size in (1, 7, 10_000):
+        df, total = Counter(), Counter()
+        for b in _merge(t.to_batches(max_chunksize=size)):
+            for x in b.to_pylist():
+                df[x["term"]] += x["df"]
+                total[x["term"]] += x["total"]
+        assert df[None] == df["hot"] == 140_000 and total["hot"] == sum(i % 300 for i in range(140_000))
+        assert all((df[f"w{j:02}"], total[f"w{j:02}"]) == (2_800, sum(i % 300 for i in range(j, 140_000, 50))) for j in range(50))
+
+
+def test_union_of_mixed_containers():
+    ids = [np.packbits(np.arange(BLOCK) % 2 == 0, bitorder="little"), np.array([1, 2, 65_535], np.uint16)]
+    counts = [np.full(BLOCK // 2, 3, np.int8), np.array([5, -7, 9], np.int16)]
+    assert _dense_union(ids, counts) == (BLOCK // 2 + 2, 3 * BLOCK // 2 + 5 + 9)
+    assert _dense_union([ids[1]], [counts[1]]) == (3, 7)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from lemmary.functions.terms import canonical_term
-from lemmary.llm.heavy_hitters import _correct, heaviest_values, symbols
+from lemmary.llm.heavy_hitters import SKETCH, _cells, _correct, _merge, _spelled, _sums, heaviest_values, symbols
 
 SCHEMA = "tid bigint, rel string, arg1 string, arg2 string, freq bigint, identity string, weight int"
 
@@ -63,3 +63,26 @@ def test_flat_ties_and_small(spark):
     zero = [(1, "r", "a-NN", "b-NN", 0, "e", 1), (2, "r", "c-NN", "b-NN", -5, "e", 1), (3, "r", "", "b-NN", None, "e", 1)]
     assert found(spark, zero, 25) == brute(zero, 25)
     assert found(spark, [], 25) == []
+
+
+def test_sums_of_many_sketches_are_whole():
+    big = np.array([2**60, 2**60 - 1, 3, 5], np.int64)
+    assert _sums(np.array([1, 1, 0, 2]), big, 3).tolist() == [3, 2**61 - 1, 5]
+    cells = [np.full(64 * 24 * 16, i, np.int64) for i in range(1, 6)]
+    (merged,) = _merge([_cells(0, 64, i, c) for i, c in enumerate(cells)])
+    assert merged.column("first")[0].as_py() == 64 and set(np.frombuffer(merged.column("cells")[0].as_py(), np.int64)) == {15}
+    with pytest.raises(OverflowError):
+        list(_merge([_cells(0, 0, i, np.full(64 * 24 * 16, 2**62, np.int64)) for i in range(2)]))
+
+
+def test_weights_beyond_a_float(spark):
+    """Sums that differ by one above 2^53."""
+    rows = [(i, "r", f"t{i}-NN", "x-NN", 2**54 + i, "e", 1) for i in range(40)]
+    assert found(spark, rows, 10) == brute(rows, 10)
+
+
+def test_many_tasks(spark):
+    """Sketches of many tasks are added up in two steps."""
+    sketches = spark.range(100).repartition(20).mapInArrow(lambda batches: (_cells(0, 0, i, np.ones(64 * 24 * 16, np.int64)) for b in batches for i in b.column(0).to_pylist()), SKETCH)
+    got = _spelled(sketches, 100).collect()
+    assert len(got) == 64 and {x.mass for x in got} == {1600}
