@@ -1,10 +1,12 @@
 """Mixing sources to target token shares.
 
-Every document gets a 63-bit hash of its identifier. Tokens are summed by source
+Every document gets a 60-bit hash of its identifier. Tokens are summed by source
 and by the hash's leading bits; the bucket in which a source's budget runs out is
-the only one looked into again, with the next bits, until the budget falls between
-two hashes. A document is taken if its hash lies below its source's threshold, so
-nothing is sorted, and a smaller budget always takes a subset of a larger one.
+the only one looked into again, with the next bits, until it holds one hash. All
+documents are read once for that; those of boundary buckets, one in thousands, are
+written apart for the levels below. A document is taken if its hash lies below its
+source's threshold, so nothing is sorted, and a smaller budget always takes a subset
+of a larger one.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmary.functions.arrow import chunks
@@ -25,7 +27,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _RUN = 4_000
 _LONG_BLANK = re.compile(r"\s{%d}" % _RUN)
-HASH_BITS, LEVELS, LEVEL_BITS = 63, 4, 12
+HASH_BITS, LEVEL_BITS = 60, 12
 SMALL = 100_000
 
 _LOADED: dict[str, Callable[[str], int]] = {}
@@ -69,31 +71,48 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, keep: list[str], tok
     return used.mapInArrow(run, fields + ", tokens bigint")
 
 
-def _thresholds(docs: DataFrame, state: DataFrame) -> DataFrame:
-    """``source, threshold``: the hash below which documents are taken once more.
+def identity_hash(id_col: str, seed: int) -> Column:
+    """The 60 leading bits of the MD5 of ``seed:id``, which any engine can recompute."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
-    ``state`` has ``source, need`` (tokens wanted). Each level sums the tokens of
-    the boundary bucket's documents by the next bits of the hash.
+
+def _histogram(docs: DataFrame, left: int) -> DataFrame:
+    """Documents, tokens and extreme hashes by source and the bits above the last ``left``."""
+    by = docs.groupBy("source", F.shiftright("hash", left).alias("bucket"))
+    return by.agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.min("hash").alias("lo"), F.max("hash").alias("hi"))
+
+
+def _thresholds(docs: DataFrame, histogram: DataFrame, state: DataFrame) -> DataFrame:
+    """``source, threshold, taken``: the hash below which documents are taken once more,
+    and the tokens of those.
+
+    ``state`` has ``source, need`` (tokens wanted), ``histogram`` the first level's sums.
+    Each further level sums the boundary bucket's documents by the next bits.
     """
-    level = state.withColumn("prefix", F.lit(0).cast("bigint"))
-    used = 0
-    for i in range(LEVELS + 1):
-        left = HASH_BITS - used
-        bits = left if i == LEVELS else LEVEL_BITS
-        here = docs.join(maybe_broadcast(level, SMALL), "source")
-        if used:
-            here = here.where(F.shiftright("hash", left) == F.col("prefix"))
-        sums = here.groupBy("source", "need", F.shiftright("hash", left - bits).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
-        upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket"))
+    upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket"))
+    level = state.withColumn("below", F.lit(0).cast("bigint"))
+    settled: DataFrame | None = None
+    left = HASH_BITS - LEVEL_BITS
+    while True:
+        sums = histogram.withColumn("upto", upto).join(level, "source")
         # the first bucket that does not fit as a whole
-        over = sums.withColumn("upto", upto).where(F.col("upto") > F.col("need")).groupBy("source")
-        edge = over.agg(F.min(F.struct("upto", "bucket", "tokens", "need")).alias("e"))
-        level = edge.select("source", (F.col("e.need") - F.col("e.upto") + F.col("e.tokens")).alias("need"), F.col("e.bucket").alias("prefix"), F.col("e.tokens").alias("edge"))
-        level = materialise(level, "mix")
-        used += bits
+        over = sums.where(F.col("below") + F.col("upto") > F.col("need")).groupBy("source")
+        edge = over.agg(F.min(F.struct("upto", "bucket", "tokens", "need", "below", "lo", "hi")).alias("e"))
+        below = F.col("e.below") + F.col("e.upto") - F.col("e.tokens")
+        edge = materialise(edge.select("source", "e.need", below.alias("below"), "e.bucket", "e.tokens", "e.lo", "e.hi"), "edges")
+        done = edge.where("lo = hi")
+        settled = done if settled is None else settled.unionByName(done)
+        still = materialise(edge.where("lo < hi").select("source", "need", "below", "bucket"), "open")
+        if still.isEmpty():
+            break
+        inside = docs.join(maybe_broadcast(still.select(F.col("source").alias("s"), "bucket"), SMALL), (F.col("source") == F.col("s")) & (F.shiftright("hash", left) == F.col("bucket")))
+        docs = materialise(inside.select("source", "hash", "tokens"), "boundary")
+        left = max(0, left - LEVEL_BITS)
+        histogram, level = _histogram(docs, left), still.select("source", "need", "below")
     # one hash is left: it is taken if that brings the sum nearer to the budget
-    near = F.when(2 * F.col("need") >= F.col("edge"), 1).otherwise(0)
-    return level.select("source", (F.col("prefix") + near).alias("threshold"))
+    near = F.when(2 * (F.col("need") - F.col("below")) >= F.col("tokens"), 1).otherwise(0)
+    return settled.select("source", (F.col("lo") + near).alias("threshold"), (F.col("below") + near * F.col("tokens")).alias("taken"))
 
 
 def mix_sources(
@@ -104,6 +123,7 @@ def mix_sources(
     source_col: str = "source",
     tokenizer: str = TOKENIZER,
     seed: int = 0,
+    size: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Documents of a mixture and the shares it reaches.
 
@@ -116,7 +136,10 @@ def mix_sources(
       once more; copies of an identifier (same hash) are taken together;
     * a row for each row of ``targets``: ``source, target_share, max_repeat,
       documents, tokens, budget, reached_tokens, reached_share`` (of all tokens
-      reached), ``short``: true if even ``max_repeat`` uses stay below the budget.
+      reached), ``short``: true if every document is used ``max_repeat`` times and
+      the tokens so reached stay below the budget.
+
+    ``size`` is an expression over ``docs`` that is used in place of counted tokens.
 
     Documents without a source, or of a source that is not wanted, do not count;
     a NULL text has 0 tokens; NULL shares are 0 and NULL repeats 1, negative ones
@@ -128,27 +151,34 @@ def mix_sources(
         F.greatest(F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("target_share"),
         F.greatest(F.coalesce(F.col("max_repeat").cast("int"), F.lit(1)), F.lit(0)).alias("max_repeat"),
     ).where("source IS NOT NULL")
-    mine = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("__text"))
+    sizes = F.col(text_col).alias("__text") if size is None else F.coalesce(size.cast("bigint"), F.lit(0).cast("bigint")).alias("tokens")
+    mine = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), sizes)
     mine = mine.join(maybe_broadcast(wanted.select("source").distinct(), SMALL), "source", "left_semi")
-    sized = token_counts(mine, "__id", "__text", ["source"], tokenizer)
-    sized = materialise(sized.withColumn("hash", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__id"), 1)), "sized")
+    sized = mine if size is not None else token_counts(mine, "__id", "__text", ["source"], tokenizer)
+    sized = materialise(sized.withColumn("hash", identity_hash("__id", seed)), "sized")
 
-    by_source = sized.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"))
+    histogram = materialise(_histogram(sized, HASH_BITS - LEVEL_BITS), "histogram")
+    by_source = histogram.groupBy("source").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
     plan = wanted.join(by_source, "source", "left").na.fill(0, ["documents", "tokens"])
     all_tokens = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # one row per wanted source
     plan = plan.withColumn("budget", F.col("target_share") * all_tokens)
     ratio = F.when(F.col("tokens") > 0, F.floor(F.try_divide("budget", "tokens"))).otherwise(0)
     plan = plan.withColumn("whole", F.least(ratio, F.col("max_repeat").cast("bigint")))
-    plan = plan.withColumn("need", F.when(F.col("whole") < F.col("max_repeat"), F.col("budget") - F.col("whole") * F.col("tokens")).otherwise(0.0))
-    plan = materialise(plan.withColumn("short", F.col("max_repeat") * F.col("tokens") < F.col("budget")), "plan")
-
-    cut = _thresholds(sized, plan.where("tokens > 0 AND need > 0").select("source", "need"))
-    rule = maybe_broadcast(plan.join(cut, "source", "left").select("source", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold")), SMALL)
+    need = F.col("budget") - F.col("whole") * F.col("tokens")
+    plan = materialise(plan.withColumn("need", F.when(F.col("whole") < F.col("max_repeat"), need).otherwise(0.0)), "plan")
+
+    cut = _thresholds(sized, histogram, plan.where("tokens > 0 AND need > 0").select("source", "need"))
+    # a need of all tokens (by rounding) has no bucket in which it runs out
+    every = (F.col("tokens") > 0) & (F.col("need") >= F.col("tokens"))
+    threshold = F.coalesce("threshold", F.when(every, 1 << HASH_BITS).otherwise(0))
+    taken = F.coalesce("taken", F.when(every, F.col("tokens")).otherwise(0))
+    plan = materialise(plan.join(cut, "source", "left").withColumns({"threshold": threshold, "reached_tokens": F.col("whole") * F.col("tokens") + taken}), "mixture")
+    used_up = (F.col("whole") >= F.col("max_repeat")) | (F.col("tokens") == 0)
+    plan = plan.withColumn("short", used_up & (F.col("reached_tokens") < F.col("budget")))
+    rule = maybe_broadcast(plan.select("source", "whole", "threshold"), SMALL)
     copies = F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
     picked = sized.join(rule, "source").withColumn("copies", copies.cast("int")).where("copies > 0")
-    reached = picked.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("reached_tokens"))
-    report = plan.join(reached, "source", "left").na.fill(0, ["reached_tokens"])
     share = F.coalesce(F.try_divide(F.col("reached_tokens"), F.sum("reached_tokens").over(Window.partitionBy(F.lit(0)))), F.lit(0.0))
-    report = report.withColumn("reached_share", share)
+    report = plan.withColumn("reached_share", share)
     columns = ["source", "target_share", "max_repeat", "documents", "tokens", "budget", "reached_tokens", "reached_share", "short"]
     return picked.select(F.col("__id").alias(id_col), "source", "tokens", "copies"), report.select(columns)
