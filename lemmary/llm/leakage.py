@@ -4,8 +4,9 @@ A passage leaks if a document holds at least ``min_words`` words in a row of an
 item, at most one in ``per_edit`` of them replaced, left out or added. Prefix-
 filtered set join on word shingles:
 
-1. The corpus is read once; kept are the positions of shingles that some item has
-   (in bounded memory where the items are few, else by a shuffled semi-join).
+1. The corpus is read once; kept are the positions of shingles that some item has:
+   looked up in memory where the items are few, else in a Bloom filter of fixed size,
+   whose few false ones a join then removes.
 2. Item shingles are ordered by rarity in the corpus. A passage of L words with
    e <= L / per_edit edits keeps at least (L - width + 1) - width * e of its
    shingles, so from every item window the most frequent ones may be left out as
@@ -14,6 +15,10 @@ filtered set join on word shingles:
    drop meetings around which no passage of the needed length has room.
 4. For each remaining pair the words are aligned around the shared shingles and
    the passage is accepted by its exact edit count.
+
+A passage begins and ends in words that both texts have: a replaced, missing or added
+word counts as an edit inside it, so eleven equal words in a row are none, whatever
+stands beside them.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmary.functions.arrow import chunks, ints
+from lemmary.operators.grouped_join import MAX_HEAVY
 from lemmary.runtime import is_small, materialise, maybe_broadcast
 
+#: Most rows that are sent to all tasks of a join.
+MOST_SENT = 500_000
+
 _TAG = re.compile(r"</?[A-Za-z!?][^<>]*>")
 _MARKS = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -112,8 +121,31 @@ def _item_shingles(width: int):
     return run
 
 
-def _doc_shingles(width: int, wanted: np.ndarray | None):
-    """Positions of wanted shingles (all of them if None) in each document."""
+#: Bits of the Bloom filter (32 MB) and bits set by each shingle.
+BLOOM_BITS, BLOOM_SET = 1 << 28, 2
+
+
+def bloom(hashes: DataFrame) -> np.ndarray:
+    """The Bloom filter of ``hash`` as 64-bit words: of one size however many there are."""
+    bit = F.explode(F.array(*[F.shiftrightunsigned("hash", 36 - 28 * i).bitwiseAND(BLOOM_BITS - 1) for i in range(BLOOM_SET)]))
+    words_ = hashes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit").bitwiseAND(63).cast("int"))).alias("word"))
+    held = words_.toArrow()  # at most BLOOM_BITS / 64 rows
+    out = np.zeros(BLOOM_BITS // 64, np.uint64)
+    out[held.column("at").to_numpy()] = held.column("word").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bloom(words_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes the filter may hold."""
+    found = np.ones(len(h), bool)
+    for i in range(BLOOM_SET):
+        bit = (h >> np.uint64(36 - 28 * i)) & np.uint64(BLOOM_BITS - 1)
+        found &= (words_[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+    return found
+
+
+def _doc_shingles(width: int, known_as: Callable[[np.ndarray], np.ndarray]):
+    """Positions of the shingles in each document that ``known_as`` finds."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
@@ -131,10 +163,7 @@ def _doc_shingles(width: int, wanted: np.ndarray | None):
             ends = np.cumsum(sizes)
             row = np.searchsorted(ends, np.arange(len(h)), side="right")
             whole = np.arange(len(h)) + width <= ends[row]
-            if wanted is not None:
-                at = np.searchsorted(wanted, h)
-                at[at == len(wanted)] = 0
-                whole &= wanted[at] == h
+            whole &= known_as(h)
             hit = np.flatnonzero(whole)
             for s in range(0, len(hit), 100_000):
                 e = hit[s : s + 100_000]
@@ -144,6 +173,17 @@ def _doc_shingles(width: int, wanted: np.ndarray | None):
     return run
 
 
+def _one_of(wanted: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Lookup in a sorted, not empty array."""
+
+    def known_as(h: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(wanted, h)
+        at[at == len(wanted)] = 0
+        return wanted[at] == h
+
+    return known_as
+
+
 def _necessary(width: int, min_words: int, per_edit: int):
     """Per item, the shingles that must be joined: walking from the most frequent,
     a shingle is left out while every window that could be a passage keeps enough."""
@@ -155,16 +195,19 @@ def _necessary(width: int, min_words: int, per_edit: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("ipos")
         n, df = t.num_rows, ints(t.column("df"))
-        out = np.zeros(n + 1, np.int64)
+        out = np.zeros(n, np.int64)
+        reach = max(spare) - 1
         for i in np.argsort(-df, kind="stable"):
             out[i] = 1
-            upto = np.concatenate([[0], np.cumsum(out[:n])])
+            # only windows around it change
+            start, end = max(0, i - reach), min(n, i + reach + 1)
+            upto = np.concatenate([[0], np.cumsum(out[start:end])])
             for size, most in spare.items():
-                lo, hi = max(0, i - size + 1), min(i, n - size)
+                lo, hi = max(0, i - size + 1) - start, min(i, n - size) - start
                 if hi >= lo and (most < 1 or (upto[lo + size : hi + size + 1] - upto[lo : hi + 1]).max() > most):
                     out[i] = 0
                     break
-        return t.filter(pa.array(out[:n] == 0))
+        return t.filter(pa.array(out == 0))
 
     return run
 
@@ -222,6 +265,21 @@ def passage(doc: list[str], item: list[str], width: int, min_words: int, per_edi
     return longest
 
 
+def _meet(hits: DataFrame, rarity: DataFrame, other: DataFrame) -> DataFrame:
+    """Join of ``hits`` with ``other`` by ``hash``. ``other`` is broadcast if it is small;
+    else that of the hashes that hold over 1/1000 of all hits, whose hits stay in place."""
+    if is_small(other, MOST_SENT):
+        return hits.join(F.broadcast(other), "hash")
+    total = rarity.agg(F.sum("df")).first()[0] or 0
+    heavy = materialise(rarity.where(F.col("df") * MAX_HEAVY > F.lit(total)).select("hash"), "heavy-hashes")
+    if heavy.isEmpty():
+        return hits.join(other, "hash")
+    heavy = F.broadcast(heavy) if is_small(heavy, MAX_HEAVY) else heavy
+    often = maybe_broadcast(materialise(other.join(heavy, "hash", "left_semi"), "heavy-others"), MOST_SENT)
+    rarely = hits.join(heavy, "hash", "left_anti").join(other.join(heavy, "hash", "left_anti"), "hash")
+    return rarely.unionByName(hits.join(heavy, "hash", "left_semi").join(often, "hash"))
+
+
 def _verifier(width: int, min_words: int, per_edit: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, rows=2048, size=32 << 20):
@@ -258,7 +316,7 @@ def leaked_items(
     match; repeated rows give repeated results once per (document, item); NULL
     identifiers are dropped. Texts are read whole. Columns besides those named are
     not read. Up to ``memory_shingles`` item shingles are sent to the tasks; with
-    more, shingles of documents and items meet in a shuffle.
+    more, a Bloom filter of them is, and what passes it meets the items in a join.
     """
     d = docs.select(F.col(doc_col).alias("doc"), F.col(doc_text).cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     i = items.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text")).where("item IS NOT NULL").dropDuplicates(["item"])
@@ -266,28 +324,29 @@ def leaked_items(
     cut = materialise(item_words(i), "item-words")
     ours = materialise(cut.where(F.size("words") >= min_words).mapInArrow(_item_shingles(width), f"item {item_type}, ipos int, iwords int, hash bigint"), "item-shingles")
 
-    unique = ours.select("hash").distinct()
+    unique = materialise(ours.select("hash").distinct(), "shingles")
     schema = f"doc {doc_type}, dpos int, dwords int, hash bigint"
     if is_small(unique, memory_shingles):
-        wanted = np.sort(np.array([x.hash for x in unique.collect()], np.int64).view(np.uint64))
-        hits = d.mapInArrow(_doc_shingles(width, wanted), schema) if len(wanted) else d.sparkSession.createDataFrame([], schema)
+        wanted = np.sort(unique.toArrow().column("hash").to_numpy().view(np.uint64))
+        hits = d.mapInArrow(_doc_shingles(width, _one_of(wanted)), schema) if len(wanted) else d.sparkSession.createDataFrame([], schema)
     else:
-        hits = d.mapInArrow(_doc_shingles(width, None), schema).join(unique, "hash", "left_semi").select("doc", "dpos", "dwords", "hash")
+        filter_ = d.sparkSession.sparkContext.broadcast(bloom(unique))
+        maybe = materialise(d.mapInArrow(_doc_shingles(width, lambda h: in_bloom(filter_.value, h)), schema), "maybe-hits")
+        hits = _meet(maybe, maybe.groupBy("hash").agg(F.count("*").alias("df")), unique).select("doc", "dpos", "dwords", "hash")
     hits = materialise(hits, "hits")
 
-    rarity = hits.groupBy("hash").agg(F.count("*").alias("df"))
-    ranked = ours.join(rarity, "hash").select("item", "ipos", "iwords", "hash", "df")
-    missing = ours.join(rarity, "hash", "left_anti").select("item", "ipos", "iwords", "hash", F.lit(0).cast("bigint").alias("df"))
-    prefix = ranked.unionByName(missing).groupBy("item").applyInArrow(_necessary(width, min_words, per_edit), f"item {item_type}, ipos int, iwords int, hash bigint, df bigint")
+    rarity = materialise(hits.groupBy("hash").agg(F.count("*").alias("df")), "rarity")
+    ranked = ours.join(rarity, "hash", "left").select("item", "ipos", "iwords", "hash", F.coalesce("df", F.lit(0).cast("bigint")).alias("df"))
+    prefix = ranked.groupBy("item").applyInArrow(_necessary(width, min_words, per_edit), f"item {item_type}, ipos int, iwords int, hash bigint, df bigint")
     prefix = materialise(prefix.where("df > 0").select("item", "ipos", "iwords", "hash"), "prefix")
 
     # room for a passage around the meeting: words before and after, in either text
     slack = (2 * max(min_words, per_edit) - 1) // per_edit
     before = F.least("dpos", "ipos")
     after = F.least(F.col("dwords") - F.col("dpos"), F.col("iwords") - F.col("ipos"))
-    met = hits.join(maybe_broadcast(prefix, memory_shingles // 20), "hash").where(before + after + slack >= min_words)
+    met = _meet(hits, rarity, prefix).where(before + after + slack >= min_words)
     # few next to the corpus: while they are, its texts are not shuffled for them
-    pairs = maybe_broadcast(materialise(met.select("doc", "item").distinct(), "met"), memory_shingles // 4)
+    pairs = maybe_broadcast(materialise(met.select("doc", "item").distinct(), "met"), MOST_SENT)
 
     checked = d.join(pairs, "doc").join(cut, "item").select("doc", "item", "text", "words")
     found = checked.mapInArrow(_verifier(width, min_words, per_edit), f"doc {doc_type}, item {item_type}, n_words int")

@@ -2,8 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
-from lemmary.llm.leakage import leaked_items, passage, words
+from lemmary.llm import leakage
+from lemmary.llm.leakage import _meet, _necessary, bloom, in_bloom, leaked_items, passage, words
 
 ITEM = [f"w{i}" for i in range(60)]
 
@@ -44,6 +49,9 @@ def edits(doc, item):
 
 def brute(doc, item):
     """Any run of 12 or more item words that starts and ends in an equal word."""
+    fives = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    if not fives(doc) & fives(item):  # so few edits leave five words in a row
+        return False
     for a in range(len(item)):
         for b in range(a + 12, min(len(item), a + 40) + 1):
             if edits(doc, item[a:b]) * 8 <= b - a:
@@ -97,3 +105,34 @@ def test_empty(spark):
     assert leaked_items(spark.createDataFrame([], docs), spark.createDataFrame([(1, " ".join(ITEM))], items)).count() == 0
     assert leaked_items(some, spark.createDataFrame([], items)).count() == 0
     assert leaked_items(some, spark.createDataFrame([(7, " ".join(ITEM))], items).withColumnRenamed("text", "t"), item_text="t").collect()[0].n_words == 60
+
+
+def test_bloom_filter(spark):
+    known = np.random.default_rng(1).integers(0, 2**64, 20_000, np.uint64)
+    held = bloom(spark.createDataFrame(pa.table({"hash": known.view(np.int64)})))
+    assert in_bloom(held, known).all()
+    other = np.random.default_rng(2).integers(0, 2**64, 20_000, np.uint64)
+    assert in_bloom(held, other).mean() < 0.01
+
+
+@pytest.mark.parametrize("sent", [0, 10**6])
+def test_hot_shingles(spark, monkeypatch, sent):
+    """A join by hash in which one hash holds most rows, sent whole or split."""
+    monkeypatch.setattr(leakage, "MOST_SENT", sent)
+    hits = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(900)], "doc int, hash bigint")
+    other = spark.createDataFrame([(1, 7), (2, 7), (3, 9), (4, 5)], "item int, hash bigint")
+    rarity = hits.groupBy("hash").agg(F.count("*").alias("df"))
+    got = sorted((x.doc, x.item) for x in _meet(hits, rarity, other).collect())
+    assert got == sorted([(i, item) for i in range(900) if i % 3 for item in (1, 2)] + [(9, 3)])
+
+
+def test_prefix_of_long_items():
+    """Linear in the item's length, and every window keeps what it needs."""
+    rng = random.Random(3)
+    n = 3000
+    t = pa.table({"item": [1] * n, "ipos": list(range(n)), "iwords": [n + 4] * n, "hash": list(range(n)), "df": [rng.randrange(100) for _ in range(n)]})
+    kept = set(_necessary(5, 12, 8)(t).column("ipos").to_pylist())
+    assert len(kept) < n
+    for words_ in range(12, 24):
+        size, most = words_ - 4, (words_ - 4) - 5 * (words_ // 8) - 1
+        assert all(sum(i not in kept for i in range(a, a + size)) <= most for a in range(n - size + 1))
