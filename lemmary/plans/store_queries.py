@@ -405,18 +405,8 @@ _TOPICS = (
 
 _ALL_TOPICS = _TOPICS.replace(" r WHERE rank <= 20", " r")
 
-_FIELD = '"(?:[^"]|"")*"|[^"]*'
-_FIELDS = ["rel", "a1", "a2", "a3", "a4", "a5", "freq"]
-_UNQUOTED = """CASE WHEN g.{0}[1] = '"' THEN replace(g.{0}[2:-2], '""', '"') ELSE g.{0} END"""
-_LINES = (
-    loading._CHECKED
-    + f""", g AS (SELECT c.*, regexp_extract(line, '^{", ".join([f"({_FIELD})"] * 7)}$', {_FIELDS}) AS g FROM c),
-f AS (SELECT line_id, line, quoted, n, coalesce(quoted AND n = 7 AND sound, false) AS sound, {", ".join(f"{_UNQUOTED.format(x)} AS {x}" for x in _FIELDS)} FROM g)
-"""
-)
-
 ORACLE = {
-    "scan_all_triples": _LINES
+    "scan_all_triples": loading.LINES
     + """SELECT line_id, CASE WHEN sound THEN rel END AS rel,
   CASE WHEN sound THEN list_transform(list_filter([a1, a2, a3, a4, a5], lambda a: a <> '<->'), lambda a: CASE WHEN a IN ('<NONE>', 'None-<NONE-POS>') THEN NULL ELSE regexp_replace(a, '-[^-]*$', '') END) END AS args,
   CASE WHEN sound THEN CAST(TRY_CAST(freq AS BIGINT) AS VARCHAR) END AS freq,

@@ -1,16 +1,19 @@
 """Triple rows from text that may be broken: an error-recovering reader.
 
-A recursive-descent grammar over whole texts (one line or many):
+A recursive-descent grammar over whole texts (one line or many), a method for each rule:
 
     text   = record { end record }
     record = field { ", " field }
-    field  = '"' { any but '"' | '""' } '"'  |  { any but '"' }
+    field  = quoted | bare
+    quoted = '"' { any but '"' | '""' } '"'
+    bare   = { any but '"' }
     end    = [ carriage return ] line feed
 
-A record that breaks the grammar gives an error with its place, and reading resumes
-at the next validated record start: a line that begins with a relation and a
-separator, so a quote that was never closed does not swallow the records after it.
-Whole records are then typed field by field.
+A record that breaks the grammar gives one error with its place, and reading resumes
+at the next validated record start: a line whose first two fields are a relation and a
+sound argument. So a quote that was never closed does not swallow the records after it,
+and the lines between are part of the broken record. Whole records are then typed
+field by field.
 """
 
 from __future__ import annotations
@@ -43,17 +46,27 @@ class Found:
     column: int | None = None
 
 
+class Broken(Exception):
+    """The grammar is broken at field ``field`` (from 0), which starts at ``at``."""
+
+    def __init__(self, field: int, at: int):
+        super().__init__(field, at)
+        self.field, self.at = field, at
+
+
 class TripleGrammar:
     """The grammar above; ``many`` allows several records in one text."""
 
     def __init__(self, many: bool = False, relations: tuple[str, ...] = RELATIONS, parts: tuple[str, ...] = PARTS_OF_SPEECH):
         self.many, self.relations = many, frozenset(relations)
-        bare, end = (r'[^"\n]*?', r"\r?(?:\n|\Z)") if many else (r'[^"]*?', r"\r?\Z")
+        end = r"\r?(?:\n|\Z)" if many else r"\r?\Z"
         names = "|".join(map(re.escape, relations))
-        self._field = re.compile(rf'(?:"([^"]*(?:""[^"]*)*)"|({bare}))(?:(, )|{end})')
+        # tokens: each rule's own characters with the separator or the end that follow
+        self._quoted_token = re.compile(rf'"([^"]*(?:""[^"]*)*)"(?:(, )|{end})')
+        self._bare_token = re.compile(rf"""({'[^"\n]' if many else '[^"]'}*?)(?:(, )|{end})""")
         self._anchor = re.compile(rf'(?<=\n)"?(?:{names})"?, ')
         self._argument = re.compile(rf"(?s:.+)-(?:{'|'.join(parts)})\Z")
-        self._forbidden = re.compile("[\x00-\x1f\x7f-\x9f�]")
+        self._forbidden = re.compile("[\x00-\x1f\x7f-\x9f\ufffd]")
         self._number = re.compile(r"[0-9]+\Z")
 
     def parse(self, text: str | None) -> Iterator[Found]:
@@ -64,49 +77,73 @@ class TripleGrammar:
         at, line = 0, 1
         while True:
             start = at
-            fields, columns, at = self._record(text, start)
-            if fields is None:
-                yield Found(line, None, reason="quoting", where=self._name(len(columns)), column=columns[-1] - start + 1)
-                at = self._resume(text, start)
-            else:
+            try:
+                fields, columns, at = self._record(text, start)
                 yield self._typed(line, start, fields, columns)
+            except Broken as broken:
+                yield Found(line, None, reason="quoting", where=self._name(broken.field + 1), column=broken.at - start + 1)
+                at = self._resume(text, start)
             if at >= len(text):
                 return
             line += text.count("\n", start, at)
 
-    def _record(self, text: str, at: int) -> tuple[list[str] | None, list[int], int]:
-        """Fields, where they start, and where the next record does; no fields if broken."""
-        fields, columns = [], []
-        limit = None
-        while True:
+    def _record(self, text: str, at: int) -> tuple[list[str], list[int], int]:
+        """Fields, where they start, and where the next record does."""
+        fields, columns, more = [], [], True
+        while more:
             columns.append(at)
-            m = self._field.match(text, at)
-            if m is None:
-                return None, columns, at
-            quoted, bare, more = m.groups()
-            if quoted is not None:
-                if self.many and "\n" in quoted:
-                    # a record starts inside: the quote was never closed
-                    limit = self._anchor.search(text, at)
-                    if limit and limit.start() < m.end():
-                        return None, columns, at
-                fields.append(quoted.replace('""', '"'))
-            else:
-                fields.append(bare)
-            at = m.end()
-            if more is None:
-                return fields, columns, at
+            value, more, at = self._field(text, at, len(fields))
+            fields.append(value)
+        return fields, columns, at
+
+    def _field(self, text: str, at: int, number: int) -> tuple[str, bool, int]:
+        """Its value, whether a separator follows, and where that or the record ends."""
+        return (self._quoted if text.startswith('"', at) else self._bare)(text, at, number)
+
+    def _quoted(self, text: str, at: int, number: int) -> tuple[str, bool, int]:
+        m = self._quoted_token.match(text, at)
+        if m is None:
+            raise Broken(number, at)
+        value = m[1]
+        # a record starts inside: the quote was never closed
+        if self.many and "\n" in value and self._next_record(text, at, m.end()) is not None:
+            raise Broken(number, at)
+        return value.replace('""', '"'), m[2] is not None, m.end()
+
+    def _bare(self, text: str, at: int, number: int) -> tuple[str, bool, int]:
+        m = self._bare_token.match(text, at)
+        if m is None:
+            raise Broken(number, at)
+        return m[1], m[2] is not None, m.end()
+
+    def _next_record(self, text: str, at: int, end: int) -> int | None:
+        """The first validated record start in ``text[at:end]``."""
+        for m in self._anchor.finditer(text, at, end):
+            if self._starts_record(text, m.start()):
+                return m.start()
+        return None
+
+    def _starts_record(self, text: str, at: int) -> bool:
+        """True if a relation and a sound argument stand there as whole fields of one line."""
+        try:
+            rel, more, after = self._token(text, at)
+            if rel not in self.relations or not more:
+                return False
+            argument, more, _ = self._token(text, after)
+        except Broken:
+            return False
+        return more and "\n" not in argument and self._is_argument(argument)
+
+    def _token(self, text: str, at: int) -> tuple[str, bool, int]:
+        m = (self._quoted_token if text.startswith('"', at) else self._bare_token).match(text, at)
+        if m is None:
+            raise Broken(0, at)
+        return m[1].replace('""', '"'), m[2] is not None, m.end()
 
     def _resume(self, text: str, start: int) -> int:
-        """The next validated record start; else the next line; else the end."""
-        if not self.many:
-            return len(text)
-        found = self._anchor.search(text, start + 1)
-        after = text.find("\n", start)
-        if after < 0:
-            return len(text)
-        # lines before the anchor are records of their own, sound or not
-        return after + 1 if not found or after + 1 <= found.start() else found.start()
+        """The next validated record start, else the end."""
+        found = self._next_record(text, start + 1, len(text)) if self.many else None
+        return len(text) if found is None else found
 
     def _typed(self, line: int, start: int, fields: list[str], columns: list[int]) -> Found:
         if len(fields) != len(FIELDS):
@@ -138,9 +175,9 @@ def parse_triples(df: DataFrame, id_col: str, text_col: str, many: bool = False)
 
     ``reason`` is the first that applies: ``quoting`` (broken quoting), ``columns``
     (not 7 fields; also NULL and empty text), ``value`` (a value that is not sound);
-    ``field`` and ``column`` say where. With ``many`` a text holds one record a line
-    and quoted fields may run over line ends; else a text is one record, whatever it
-    holds. Repeated rows give repeated records, empty tables none. Columns besides
+    ``field`` and ``column`` say where. With ``many`` a text holds one record a line,
+    quoted fields may run over line ends, and a record with broken quoting reaches to
+    the next validated record start; else a text is one record, whatever it holds. Repeated rows give repeated records, empty tables none. Columns besides
     the two are not read.
     """
 
