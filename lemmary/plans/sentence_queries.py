@@ -183,16 +183,17 @@ QUERIES = {name: globals()[name] for name in _NAMES} | {f"rel_{name}": _one(name
 
 # ---------------------------------------------------------------- SQL
 
-_POS = "CASE regexp_extract(s, '-([^-(]*)\\([^-(]*\\)$', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LF.TAGS.items()) + " END"
+_POS = "CASE g.tag " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LF.TAGS.items()) + " END"
+#: Each predicate is matched once: a word gives its four parts, a name its arguments.
 _PARSE = f"""
 ps AS (SELECT file, sid, generate_subscripts(parts, 1) AS i, unnest(parts) AS s FROM (SELECT file, sid, string_split(replace(replace(replace(trim(line), ' & ', '&'), '((', '('), '))', ')'), '&') AS parts FROM sent)),
-pa AS (SELECT file, sid, i, CASE WHEN s[1] = '[' THEN regexp_extract(s, '^([^:]*):', 1) END AS pid,
-    CASE WHEN s[1] = '[' THEN replace(regexp_extract(s, '^[^:]*:(.*)-[^-(]*\\([^-(]*\\)$', 1), ':', '') END AS lemma, CASE WHEN s[1] = '[' THEN {_POS} END AS pos,
-    CASE WHEN s[1] <> '[' AND regexp_matches(s, '^[^(]+\\(.*\\)$') THEN regexp_extract(s, '^([^(]+)\\(', 1) END AS extra,
-    list_transform(string_split(regexp_extract(s, '\\(([^(]*)\\)$', 1), ','), lambda a: CASE WHEN a = '' OR a[1] = 'u' THEN NULL ELSE a END) AS args FROM ps),
+pg AS (SELECT file, sid, i, s, CASE WHEN s[1] = '[' THEN regexp_extract(s, '^([^:]*):(.*)-([^-(]*)\\(([^-(]*)\\)$', ['pid', 'lemma', 'tag', 'args']) END AS g,
+    CASE WHEN s[1] <> '[' THEN regexp_extract(s, '^([^(]+)\\((?:.*\\()?([^(]*)\\)$', ['name', 'args']) END AS e FROM ps),
+pa AS MATERIALIZED (SELECT file, sid, i, g.pid AS pid, replace(g.lemma, ':', '') AS lemma, {_POS} AS pos, nullif(e.name, '') AS extra,
+    list_transform(string_split(coalesce(g.args, e.args), ','), lambda a: CASE WHEN a = '' OR a[1] = 'u' THEN NULL ELSE a END) AS args FROM pg),
 p AS (SELECT file, sid, CAST(row_number() OVER (PARTITION BY file, sid ORDER BY i) - 1 AS INTEGER) AS ppos, pid, nullif(lemma, '') AS lemma, pos, extra, args, args[1] AS a1, args[2] AS a2, args[3] AS a3, args[4] AS a4,
     coalesce(lemma, 'None') || '-' || coalesce(pos, '<NONE-POS>') AS w FROM pa WHERE (lemma <> '' AND pos IS NOT NULL) OR extra IS NOT NULL),
-h AS (SELECT DISTINCT q.file, q.sid, q.slot, q.x, t.ppos, t.pos, t.lemma, t.w, t.a1, t.a2, t.a3 FROM (
+h AS MATERIALIZED (SELECT DISTINCT q.file, q.sid, q.slot, q.x, t.ppos, t.pos, t.lemma, t.w, t.a1, t.a2, t.a3 FROM (
     SELECT file, sid, 1 AS slot, a1 AS x, lemma FROM p UNION ALL SELECT file, sid, 2, a2, lemma FROM p UNION ALL SELECT file, sid, 3, a3, lemma FROM p) q
   JOIN p t ON q.file = t.file AND q.sid = t.sid AND q.lemma = t.lemma WHERE q.x IS NOT NULL),
 st AS (SELECT file, sid, slot, x, pos, string_agg(DISTINCT lemma, '&&' ORDER BY lemma) || '-' || pos AS s FROM h GROUP BY file, sid, slot, x, pos HAVING count(*) <= 4)

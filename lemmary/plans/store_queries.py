@@ -74,12 +74,6 @@ def _topics(spark: SparkSession, base: str) -> DataFrame:
 
 
 def scan_triples(spark, base):
-    """Plain lines only (no quotes, no carriage return); :func:`scan_all_triples` reads all."""
-    lines = table(spark, base, "triple_csv").where(F.col("line").rlike(r'^[a-z_]+(, [^",]+){5}, [0-9]{1,18}\z'))
-    return lines.select("line_id", T.parse_row(F.col("line")).alias("t")).select("line_id", "t.*")
-
-
-def scan_all_triples(spark, base):
     """Every line of triple_csv: its triple, or NULL fields and the reason. ``freq`` is
     text here, so that 19 digits beside NULLs compare alike in every engine."""
     read = parse_triples(table(spark, base, "triple_csv"), "line_id", "line")
@@ -213,58 +207,28 @@ def all_sources(spark, base):
 
 
 def source_triples(spark, base):
-    """The shared triples of the ten best sources and their shares."""
-    t = _find(spark, base, k=10).select("target", "source", F.explode("triples").alias("t"))
-    return t.select("target", "source", "t.rel", F.array_join("t.args", ";", "NONE").alias("args"), F.round("t.norm", 8).alias("norm"))
-
-
-def source_lines(spark, base):
-    """The text form of the best source of each target."""
-    lines = Q.source_line(_find(spark, base, k=5))
-    return lines.select("target", "rank", F.regexp_extract("line", "^([^\t]*\t[^\t]*\t[^\t]*\t[^\t]*\t[^\t]*\t[^\t]*)\t", 1).alias("line"))
-
-
-def all_source_triples(spark, base):
-    """As :func:`source_triples`, of all sources."""
+    """The shared triples of all sources and their shares."""
     t = _find(spark, base, k=0).select("target", "source", F.explode("triples").alias("t"))
     return t.select("target", "source", "t.rel", F.array_join("t.args", ";", "NONE").alias("args"), F.round("t.norm", 8).alias("norm"))
 
 
-def source_lines_100(spark, base):
-    """As :func:`source_lines`, of the hundred sources that ``find_sources`` ranks."""
-    lines = Q.source_line(_find(spark, base))
-    return lines.select("target", "rank", F.regexp_extract("line", "^([^\t]*\t[^\t]*\t[^\t]*\t[^\t]*\t[^\t]*\t[^\t]*)\t", 1).alias("line"))
+def source_lines(spark, base):
+    """The text form of the hundred best sources of each target."""
+    return Q.source_line(_find(spark, base))
 
 
 def source_matrix(spark, base):
-    cells = Q.source_matrix(_find(spark, base, k=20))
-    return cells.select("target", "row_id", "source", "pattern", F.round("value", 8).alias("value"))
-
-
-def all_source_matrix(spark, base):
-    """As :func:`source_matrix`, of all sources."""
+    """All sources by pattern."""
     cells = Q.source_matrix(_find(spark, base, k=0))
     return cells.select("target", "row_id", "source", "pattern", F.round("value", 8).alias("value"))
 
 
 def similar_sources(spark, base):
-    pairs = _find(spark, base, k=20).select("target", "source")
-    return L.topic_similarity(pairs, _topics(spark, base)).select("target", "source", F.round("similarity", 8).alias("similarity"))
-
-
-def filter_similar(spark, base):
-    pairs = _find(spark, base, k=20).select("target", "source")
-    return L.filter_similar(pairs, _topics(spark, base), 0.2).select("target", "source")
-
-
-def all_similar_sources(spark, base):
-    """As :func:`similar_sources`, of all sources."""
     pairs = _find(spark, base, k=0).select("target", "source")
     return L.topic_similarity(pairs, _topics(spark, base)).select("target", "source", F.round("similarity", 8).alias("similarity"))
 
 
-def filter_all_similar(spark, base):
-    """As :func:`filter_similar`, of all sources."""
+def filter_similar(spark, base):
     pairs = _find(spark, base, k=0).select("target", "source")
     return L.filter_similar(pairs, _topics(spark, base), 0.2).select("target", "source")
 
@@ -283,34 +247,29 @@ def pattern_terms(spark, base):
 
 
 def top_patterns(spark, base):
-    top = P.top_patterns(_patterns(spark, base), 5, 2)
-    return top.select("term", "rank", "pattern", F.size("terms").alias("n_terms"))
-
-
-def top_patterns_100(spark, base):
     """The hundred best patterns with their hundred best terms."""
     top = P.top_patterns(_patterns(spark, base))
     return top.select("term", "rank", "pattern", F.size("terms").alias("n_terms"))
 
 
 def pattern_matrix(spark, base):
-    cells = P.pattern_matrix(P.top_patterns(_patterns(spark, base), 50, 50))
-    return cells.select("term", "row_id", "pattern", "col_term", F.round("value", 8).alias("value"))
-
-
-def all_pattern_matrix(spark, base):
-    """As :func:`pattern_matrix`, of all patterns and terms."""
+    """All patterns by term."""
     cells = P.pattern_matrix(_patterns(spark, base))
     return cells.select("term", "row_id", "pattern", "col_term", F.round("value", 8).alias("value"))
 
 
 def pattern_lines(spark, base):
-    """Text form of patterns with five or more terms, without the terms."""
-    return P.pattern_line(_patterns(spark, base)).select("term", "rank", F.regexp_extract("line", "^([^\t]*\t[^\t]*\t[^\t]*\t[^\t]*)\t", 1).alias("line"))
+    """Text form of patterns with five or more terms."""
+    return P.pattern_line(_patterns(spark, base))
+
+
+def _once(spark, base) -> DataFrame:
+    """Triples by ``tid``, counted 0 where ``freq`` is NULL."""
+    return table(spark, base, "triple").dropDuplicates(["tid"]).withColumn("freq", F.coalesce("freq", F.lit(0)))
 
 
 def triple_lines(spark, base):
-    return table(spark, base, "triple").dropDuplicates(["tid"]).where("freq IS NOT NULL").select("tid", triple_line().alias("line"))
+    return _once(spark, base).select("tid", triple_line().alias("line"))
 
 
 def reduce_files(spark, base):
@@ -319,8 +278,7 @@ def reduce_files(spark, base):
 
 
 def merged_counts(spark, base):
-    once = table(spark, base, "triple").dropDuplicates(["tid"]).where("freq IS NOT NULL")
-    return reduce_counts(once, ["rel", "arg1", "arg2", "arg3", "arg4", "arg5"])
+    return reduce_counts(_once(spark, base), ["rel", "arg1", "arg2", "arg3", "arg4", "arg5"])
 
 
 def base_codes(spark, base):
@@ -332,11 +290,10 @@ def transliterated(spark, base):
     return _targets(spark).select("target", transliterate(F.col("target")).alias("latin"))
 
 
-_NAMES = """scan_triples scan_all_triples scan_query scan_stop scan_cnet domain_pairs target_terms build_store postings posting_lists posting_round_trip
+_NAMES = """scan_triples scan_query scan_stop scan_cnet domain_pairs target_terms build_store postings posting_lists posting_round_trip
 dictionary dict_lookup dense_dictionary stamp_round_trip term_stats target_stats term_triples_freq heavy_triples stop_triples term_search
 position_search search_many siblings strict_siblings stream_counts find_sources all_sources source_triples source_lines source_matrix similar_sources filter_similar
-find_patterns pattern_terms top_patterns pattern_matrix pattern_lines triple_lines reduce_files merged_counts base_codes transliterated
-all_source_triples source_lines_100 all_source_matrix all_similar_sources filter_all_similar top_patterns_100 all_pattern_matrix""".split()
+find_patterns pattern_terms top_patterns pattern_matrix pattern_lines triple_lines reduce_files merged_counts base_codes transliterated""".split()
 
 QUERIES = {name: globals()[name] for name in _NAMES}
 
@@ -400,19 +357,15 @@ terms AS (SELECT r.target, r.rank, r.pattern, r.norm_freq AS pnorm, r.freq AS pf
 )
 _TOPICS = (
     ", held AS (SELECT DISTINCT tid, rel, unnest(args) AS term FROM once), tw AS (SELECT term, rel, count(*) AS n FROM held WHERE term IS NOT NULL GROUP BY ALL), tn AS (SELECT term, rel, n / sum(n) OVER (PARTITION BY term) AS w FROM tw), "
-    "sim AS (SELECT r.target, r.source, coalesce((SELECT sum(a.w * b.w) FROM tn a JOIN tn b ON a.rel = b.rel WHERE a.term = r.target AND b.term = r.source), 0.0) AS similarity FROM ranked r WHERE rank <= 20)"
+    "sim AS (SELECT r.target, r.source, coalesce(sum(a.w * b.w), 0.0) AS similarity FROM ranked r LEFT JOIN tn a ON a.term = r.target LEFT JOIN tn b ON b.term = r.source AND b.rel = a.rel GROUP BY r.target, r.source)"
 )
 
-_ALL_TOPICS = _TOPICS.replace(" r WHERE rank <= 20", " r")
-
 ORACLE = {
-    "scan_all_triples": loading.LINES
+    "scan_triples": loading.LINES
     + """SELECT line_id, CASE WHEN sound THEN rel END AS rel,
   CASE WHEN sound THEN list_transform(list_filter([a1, a2, a3, a4, a5], lambda a: a <> '<->'), lambda a: CASE WHEN a IN ('<NONE>', 'None-<NONE-POS>') THEN NULL ELSE regexp_replace(a, '-[^-]*$', '') END) END AS args,
   CASE WHEN sound THEN CAST(TRY_CAST(freq AS BIGINT) AS VARCHAR) END AS freq,
   CASE WHEN sound THEN NULL WHEN line IS NULL THEN 'columns' WHEN NOT quoted THEN 'quoting' WHEN n <> 7 THEN 'columns' ELSE 'value' END AS reason FROM f""",
-    "scan_triples": """SELECT line_id, p[1] AS rel, list_transform(list_filter(p[2:6], lambda a: a <> '<->'), lambda a: CASE WHEN a IN ('<NONE>', 'None-<NONE-POS>') THEN NULL ELSE regexp_replace(a, '-[^-]*$', '') END) AS args, CAST(p[7] AS BIGINT) AS freq
-FROM (SELECT line_id, string_split(line, ', ') AS p FROM triple_csv WHERE regexp_full_match(line, '[a-z_]+(, [^",]+){5}, [0-9]{1,18}'))""",
     "scan_query": "SELECT * FROM (VALUES ('water', ['boat', 'лодка'], ['shore', 'берег', 'orilla']), ('weather', ['wind', 'зима'], ['туман', 'well'])) q(label, source, target)",
     "scan_stop": _BASE + "SELECT term FROM stop",
     "scan_cnet": _BASE + "SELECT arg1, arg2 FROM cnet",
@@ -446,41 +399,32 @@ FROM (SELECT line_id, string_split(line, ', ') AS p FROM triple_csv WHERE regexp
     "find_sources": _FOUND + "SELECT target, rank, source, round(norm_source, 8) AS norm_source, round(norm_target, 8) AS norm_target, n, src_freq, tgt_freq FROM ranked WHERE rank <= 100",
     "all_sources": _PLAIN + "SELECT target, source, round(norm_source, 8) AS norm_source, round(norm_target, 8) AS norm_target, n, src_freq, tgt_freq FROM scored",
     "source_triples": _FOUND
-    + "SELECT met.target, met.source, met.rel, array_to_string(list_transform(cargs, lambda x: coalesce(x, 'NONE')), ';') AS args, round(ns, 8) AS norm FROM met JOIN ranked USING (target, source) WHERE rank <= 10",
-    "source_lines": _FOUND + "SELECT target, rank, printf('%s\t%.8f\t%.8f\t%d\t%d\t%d', source, norm_source, norm_target, n, src_freq, tgt_freq) AS line FROM ranked WHERE rank <= 5",
+    + "SELECT target, source, rel, array_to_string(list_transform(cargs, lambda x: coalesce(x, 'NONE')), ';') AS args, round(ns, 8) AS norm FROM met",
+    "source_lines": _FOUND
+    + """, told AS (SELECT target, source, string_agg(printf('{%s;%.6f} ', array_to_string(list_transform(cargs, lambda x: coalesce(x, 'NONE')), ';'), ns), '' ORDER BY ns DESC, rel DESC, cargs DESC) AS t FROM met GROUP BY target, source)
+SELECT target, rank, printf('%s\t%.8f\t%.8f\t%d\t%d\t%d\t%s', source, norm_source, norm_target, n, src_freq, tgt_freq, t) AS line FROM ranked JOIN told USING (target, source) WHERE rank <= 100""",
     "source_matrix": _FOUND
-    + f""", cells AS (SELECT r.target, r.rank - 1 AS row_id, r.source, m.rel, m.cargs AS args, m.ns, list_position(list_reverse(m.cargs), m.source) AS back FROM met m JOIN ranked r USING (target, source) WHERE rank <= 20),
+    + f""", cells AS (SELECT r.target, r.rank - 1 AS row_id, r.source, m.rel, m.cargs AS args, m.ns, list_position(list_reverse(m.cargs), m.source) AS back FROM met m JOIN ranked r USING (target, source)),
 c2 AS (SELECT *, len(args) - back AS kpos FROM cells)
 SELECT target, CAST(row_id AS INTEGER) AS row_id, source, {_TEXT} AS pattern, round(min(ns), 8) AS value FROM c2 GROUP BY ALL""",
     "similar_sources": _FOUND + _TOPICS + "SELECT target, source, round(similarity, 8) AS similarity FROM sim",
     "filter_similar": _FOUND + _TOPICS + "SELECT target, source FROM sim WHERE similarity >= 0.2",
     "find_patterns": _PATTERNS + "SELECT target AS term, rank, pattern, freq, round(norm_freq, 8) AS norm_freq FROM ranked",
     "pattern_terms": _PATTERNS + "SELECT target AS term, pattern, sibling, f AS freq, n, round(norm, 8) AS norm FROM terms",
-    "top_patterns": _PATTERNS + "SELECT r.target AS term, r.rank, r.pattern, CAST(least(2, (SELECT count(*) FROM terms t WHERE t.target = r.target AND t.rank = r.rank)) AS INTEGER) AS n_terms FROM ranked r WHERE r.rank <= 5",
-    "pattern_matrix": _PATTERNS + "SELECT target AS term, CAST(rank - 1 AS INTEGER) AS row_id, pattern, sibling AS col_term, round(norm, 8) AS value FROM terms WHERE rank <= 50 AND tn <= 50",
+    "top_patterns": _PATTERNS + "SELECT r.target AS term, r.rank, r.pattern, CAST(least(100, (SELECT count(*) FROM terms t WHERE t.target = r.target AND t.rank = r.rank)) AS INTEGER) AS n_terms FROM ranked r WHERE r.rank <= 100",
+    "pattern_matrix": _PATTERNS + "SELECT target AS term, CAST(rank - 1 AS INTEGER) AS row_id, pattern, sibling AS col_term, round(norm, 8) AS value FROM terms",
     "pattern_lines": _PATTERNS
-    + "SELECT target AS term, rank, printf('%d\t%.8f\t%s\t%d', rank - 1, any_value(pnorm), any_value(pattern), count(*)) AS line FROM terms GROUP BY target, rank HAVING count(*) >= 5",
-    "triple_lines": "SELECT DISTINCT tid, concat_ws(', ', rel, arg1, arg2, arg3, arg4, arg5, CAST(freq AS VARCHAR)) AS line FROM triple WHERE freq IS NOT NULL",
-    "reduce_files": "SELECT key, CAST(sum(f) AS BIGINT) AS freq FROM (SELECT DISTINCT tid, concat_ws(', ', rel, arg1, arg2, arg3, arg4, arg5) AS key, freq AS f FROM triple WHERE freq IS NOT NULL) GROUP BY key",
-    "merged_counts": "SELECT rel, arg1, arg2, arg3, arg4, arg5, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT DISTINCT tid, rel, arg1, arg2, arg3, arg4, arg5, freq FROM triple WHERE freq IS NOT NULL) GROUP BY ALL",
+    + "SELECT target AS term, rank, printf('%d\t%.8f\t%s\t%d\t%s', rank - 1, any_value(pnorm), any_value(pattern), count(*), string_agg(printf('%s(f=%d,c=%d,nf=%.8f) ', sibling, f, n, norm), '' ORDER BY tn)) AS line FROM terms GROUP BY target, rank HAVING count(*) >= 5",
+    "triple_lines": "SELECT DISTINCT tid, concat_ws(', ', rel, arg1, arg2, arg3, arg4, arg5, CAST(coalesce(freq, 0) AS VARCHAR)) AS line FROM triple",
+    "reduce_files": "SELECT key, CAST(sum(f) AS BIGINT) AS freq FROM (SELECT DISTINCT tid, concat_ws(', ', rel, arg1, arg2, arg3, arg4, arg5) AS key, coalesce(freq, 0) AS f FROM triple) GROUP BY key",
+    "merged_counts": "SELECT rel, arg1, arg2, arg3, arg4, arg5, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT DISTINCT tid, rel, arg1, arg2, arg3, arg4, arg5, coalesce(freq, 0) AS freq FROM triple) GROUP BY ALL",
     "base_codes": """WITH RECURSIVE d AS (SELECT DISTINCT tid, tid AS rest, '' AS code FROM triple UNION ALL
   SELECT tid, rest // 52, substr('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(rest % 52 + 1 AS BIGINT), 1) || code FROM d WHERE rest > 0 OR code = '')
 SELECT tid, code, tid AS back FROM d WHERE rest = 0 AND code <> ''""",
     "transliterated": "SELECT * FROM (VALUES ('shore', 'shore'), ('берег', 'bereg'), ('orilla', 'orilla'), ('туман', 'tuman'), ('well', 'well')) t(target, latin)",
 }
 
-ORACLE |= {
-    "all_source_triples": _FOUND + "SELECT target, source, rel, array_to_string(list_transform(cargs, lambda x: coalesce(x, 'NONE')), ';') AS args, round(ns, 8) AS norm FROM met",
-    "source_lines_100": ORACLE["source_lines"].replace("rank <= 5", "rank <= 100"),
-    "all_source_matrix": ORACLE["source_matrix"].replace(" WHERE rank <= 20", ""),
-    "all_similar_sources": _FOUND + _ALL_TOPICS + "SELECT target, source, round(similarity, 8) AS similarity FROM sim",
-    "filter_all_similar": _FOUND + _ALL_TOPICS + "SELECT target, source FROM sim WHERE similarity >= 0.2",
-    "top_patterns_100": ORACLE["top_patterns"].replace("least(2,", "least(100,").replace("r.rank <= 5", "r.rank <= 100"),
-    "all_pattern_matrix": ORACLE["pattern_matrix"].replace(" WHERE rank <= 50 AND tn <= 50", ""),
-}
-
 _ARRAYS = {
-    "scan_all_triples": ["args"],
     "scan_triples": ["args"],
     "scan_query": ["source", "target"],
     "build_store": ["args"],
