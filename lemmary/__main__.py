@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmary.operators import corpus, metaphor, patterns, search, sources, store, topics
+from lemmary.functions.text import transliterate
 from lemmary.operators.relations import extract_triples, fold_triples
+from lemmary.runtime import materialise
 from lemmary.sources import logical_form, resources, sinks
 
 
@@ -32,8 +34,8 @@ def triples(spark: SparkSession, a: argparse.Namespace) -> None:
 def index(spark: SparkSession, a: argparse.Namespace) -> None:
     """Triple lines to a store: triples, postings, dictionary."""
     rows = spark.read.text(a.input).select(store.parse_row(F.col("value")).alias("t")).select("t.*").where("freq IS NOT NULL")
-    counted = rows.groupBy("rel", "args").agg(F.sum("freq").alias("freq")).withColumn("tid", F.xxhash64("rel", "args"))
-    kept = store.build_store(counted, a.min_freq).select("tid", "rel", "args", "freq")
+    counted = materialise(rows.groupBy("rel", "args").agg(F.sum("freq").alias("freq")), "counted")
+    kept = store.numbered(store.build_store(counted, a.min_freq).select("rel", "args", "freq"), ["rel", "args"], "tid")
     sinks.write_store(kept, f"{a.output}/triples")
     sinks.write_postings(store.postings(spark.read.parquet(f"{a.output}/triples")), f"{a.output}/postings")
     store.dense_ids(store.dictionary(counted)).write.mode("errorifexists").parquet(f"{a.output}/terms")
@@ -52,12 +54,23 @@ def find_sources(spark: SparkSession, a: argparse.Namespace) -> None:
     found = spark.read.parquet(f"{a.output}/table")
     if a.topics:  # the text keeps sources that are similar to their target
         found = topics.filter_similar(found, spark.read.parquet(a.topics), a.similarity)
-    sources.source_line(found).orderBy("target", "rank").write.partitionBy("target").csv(f"{a.output}/text", sep="\x01", quote="")
+    named = sources.source_text(found).withColumn("target", transliterate(F.col("target")))
+    named.orderBy("target", "rank").select("target", "line").write.partitionBy("target").text(f"{a.output}/text")
+
+
+def _write_matrix(cells: DataFrame, by: str, row: str, column: str, output: str) -> None:
+    """Coordinates, the names of rows and columns, and on demand dense text rows."""
+    cells.write.mode("errorifexists").parquet(f"{output}/cells")
+    cells = cells.sparkSession.read.parquet(f"{output}/cells")
+    for part, names in zip(("rows", "columns"), sources.matrix_names(cells, by, row, column), strict=True):
+        names.orderBy(by, "id").select(by, F.concat_ws("\t", "id", "name").alias("value")).write.partitionBy(by).text(f"{output}/{part}")
+    width = cells.groupBy(by).agg(F.max("col_id").alias("width"))
+    patterns.dense_text(cells, width, by).orderBy(by, "row_id").select(by, F.col("line").alias("value")).write.partitionBy(by).text(f"{output}/dense")
 
 
 def matrix(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Ranked sources by pattern, as coordinates."""
-    sources.source_matrix(spark.read.parquet(f"{a.input}/table"), a.k).write.mode("errorifexists").parquet(a.output)
+    """Ranked sources by pattern: coordinates, names, dense rows."""
+    _write_matrix(sources.source_matrix(spark.read.parquet(f"{a.input}/table"), a.k), "target", "source", "pattern", a.output)
 
 
 def find_patterns(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -66,7 +79,7 @@ def find_patterns(spark: SparkSession, a: argparse.Namespace) -> None:
     found = patterns.top_patterns(patterns.find_patterns(_triples_of(spark, a.index), words, _stop(spark, a), normalize=a.normalize), a.max_patterns, a.max_terms)
     found.write.mode("errorifexists").parquet(f"{a.output}/table")
     found = spark.read.parquet(f"{a.output}/table")
-    patterns.pattern_matrix(found, a.normalize).write.parquet(f"{a.output}/matrix")
+    _write_matrix(patterns.pattern_matrix(found, a.normalize), "term", "pattern", "col_term", f"{a.output}/matrix")
     patterns.pattern_line(found).orderBy("term", "rank").select(F.col("line").alias("value")).write.text(f"{a.output}/text")
 
 
@@ -81,6 +94,15 @@ def find_text(spark: SparkSession, a: argparse.Namespace) -> None:
     """Texts of sentences that hold any word of every --words group."""
     hits = search.search_sentences(spark.read.parquet(f"{a.index}/postings"), [w.split(",") for w in a.words], a.mode)
     hits.join(spark.read.parquet(f"{a.index}/sentences"), ["file", "sid"]).select(F.coalesce("raw_text", F.lit("")).alias("value")).write.text(a.output)
+    print(f"{spark.read.text(a.output).count()} sentences found")
+
+
+def top(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The most frequent triples that hold all --word terms."""
+    asked = [(w, None) for w in a.word]
+    found = search.search_triples(_triples_of(spark, a.index), spark.read.parquet(f"{a.index}/terms"), asked, a.relation)
+    for x in found.orderBy(F.desc("freq"), "tid").limit(a.n).collect():
+        print(f"{x.rel}: {', '.join(t or '<NONE>' for t in x.args)}: {x.freq}")
 
 
 def connected(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -97,8 +119,9 @@ def lookup(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def combine(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Files of any character set as UTF-8 lines."""
-    corpus.combine(spark, a.input, a.pattern, a.recursive, a.charset).orderBy("file", "line_no").select(F.col("line").alias("value")).write.text(a.output)
+    """Files of any character set as lines of another."""
+    lines = corpus.combine(spark, a.input, a.pattern, a.recursive, a.charset).orderBy("file", "line_no")
+    sinks.write_encoded(lines, "line", a.output, a.output_charset)
 
 
 def reduce(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -126,9 +149,10 @@ COMMANDS = {
     "search": (find_text, {"--index": {"required": True}, "--output": {"required": True}, "--words": {"action": "append", "required": True}, "--mode": {"default": "and", "choices": ["and", "union_all"]}}),
     "connected": (connected, {"--index": {}, "--input": {}, "--output": {"required": True}, "--pattern": {"default": "*"}, "--query": {"required": True}}),
     "lookup": (lookup, {"--index": {"required": True}, "--word": {"required": True}}),
-    "combine": (combine, _FILES),
+    "top": (top, {"--index": {"required": True}, "--word": {"action": "append", "required": True}, "--relation": {}, "--n": {"type": int, "default": 10}}),
+    "combine": (combine, {**_FILES, "--output-charset": {"default": "UTF-8"}}),
     "reduce": (reduce, _FILES),
-    "split": (split, {**_FILES, "--chunks": {"type": int, "default": 1}, "--format": {"default": "plain", "choices": ["plain", "ruwac"]}}),
+    "split": (split, {**_FILES, "--chunks": {"type": int, "default": 1}, "--format": {"default": "plain", "choices": sorted(corpus.FORMATS)}}),
 }
 
 

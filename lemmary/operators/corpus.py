@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,23 +35,32 @@ def token_line(line: Column) -> Column:
     return F.concat_ws("\t", *[F.get(part, F.lit(i)) for i in TOKEN_ORDER], F.lit("_"), F.lit("_"))
 
 
-def sentence_ends(lines: DataFrame, fmt: str = "plain") -> DataFrame:
-    """Adds ``ends`` (a sentence ends before or at this line: ``before``, ``after``,
-    NULL) and ``out`` (the line as written, NULL for lines that only mark an end).
+def _plain(lines: DataFrame) -> DataFrame:
+    """The second of two blank lines ends a sentence."""
+    blank = F.trim("line") == ""
+    above = F.lag(blank).over(Window.partitionBy("file").orderBy("line_no"))
+    return lines.withColumns({"ends": F.when(blank & F.coalesce(above, F.lit(False)), "before"), "out": F.when(~blank, F.col("line"))})
 
-    ``plain``: the second of two blank lines ends a sentence. ``ruwac``: text tags end
-    one, a token ``SENT`` after itself, a token numbered 1 before itself.
-    """
-    if fmt == "plain":
-        blank = F.trim("line") == ""
-        above = F.lag(blank).over(Window.partitionBy("file").orderBy("line_no"))
-        return lines.withColumns({"ends": F.when(blank & F.coalesce(above, F.lit(False)), "before"), "out": F.when(~blank, F.col("line"))})
+
+def _ruwac(lines: DataFrame) -> DataFrame:
+    """Text tags end one, a token ``SENT`` after itself, a token numbered 1 before itself."""
     part = F.split("line", "\t")
     tag = F.col("line").startswith("<text") | F.col("line").startswith("</text")
     ends = F.when(tag, "before").when(F.get(part, F.lit(1)) == "SENT", "after").when(F.get(part, F.lit(4)) == "1", "before")
     return lines.withColumns({"ends": ends, "out": F.when(~tag, token_line(F.col("line")))})
 
 
+#: Formats of corpus files; others can be added by name.
+FORMATS: dict[str, Callable[[DataFrame], DataFrame]] = {"plain": _plain, "ruwac": _ruwac}
+
+
+def sentence_ends(lines: DataFrame, fmt: str = "plain") -> DataFrame:
+    """Adds ``ends`` (a sentence ends before or at this line: ``before``, ``after``,
+    NULL) and ``out`` (the line as written, NULL for lines that only mark an end), by
+    one of ``FORMATS``."""
+    return FORMATS[fmt](lines)
+
+
 def split_corpus(lines: DataFrame, n: int, fmt: str = "plain") -> DataFrame:
     """``file, line_no, chunk, line``: each file cut into about ``n`` chunks.
 

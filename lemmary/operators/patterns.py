@@ -67,15 +67,22 @@ def pattern_matrix(patterns: DataFrame, normalize: bool = True) -> DataFrame:
 
 def pattern_line(patterns: DataFrame, min_terms: int = 5) -> DataFrame:
     """``term, rank, line``: patterns with at least ``min_terms`` terms as text."""
+    # fixed format of the text form
     one = lambda x: F.format_string("%s(f=%d,c=%d,nf=%.8f) ", x["term"], x["freq"], x["n"], x["norm"])
     text = F.format_string("%d\t%.8f\t%s\t%d\t%s", F.col("rank") - 1, "norm_freq", "pattern", F.size("terms"), F.array_join(F.transform("terms", one), ""))
     return patterns.where(F.size("terms") >= min_terms).select("term", "rank", text.alias("line"))
 
 
+def dense_text(cells: DataFrame, width: DataFrame, by: str) -> DataFrame:
+    """``by, row_id, line``: coordinate matrices as blank-separated text rows, with 0 for
+    empty cells; ``width`` has each one's largest ``col_id``. For export of matrices
+    whose rows fit in memory."""
+    held = cells.groupBy(by, "row_id").agg(F.map_from_entries(F.collect_list(F.struct("col_id", "value"))).alias("m"))
+    values = F.transform(F.sequence(F.lit(0), F.col("width")), lambda i: F.when(F.map_contains_key(F.col("m"), i), F.format_string("%.16f", F.try_element_at(F.col("m"), i))).otherwise("0"))
+    return held.join(width, by).select(by, "row_id", F.concat(F.array_join(values, " "), F.lit(" ")).alias("line"))
+
+
 def dense_rows(cells: DataFrame) -> DataFrame:
-    """``row_id, line``: a coordinate matrix as blank-separated text rows, with 0 for
-    empty cells. For export of matrices whose rows fit in memory."""
-    width = cells.agg(F.max("col_id")).first()[0]
-    held = cells.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("col_id", "value"))).alias("m"))
-    values = F.transform(F.sequence(F.lit(0), F.lit(width or 0)), lambda i: F.when(F.map_contains_key(F.col("m"), i), F.format_string("%.16f", F.try_element_at(F.col("m"), i))).otherwise("0"))
-    return held.select("row_id", F.concat(F.array_join(F.when(F.lit(width is not None), values), " "), F.lit(" ")).alias("line"))
+    """``row_id, line`` of one matrix, as :func:`dense_text`."""
+    one = cells.withColumn("__all", F.lit(0))
+    return dense_text(one, one.groupBy("__all").agg(F.max("col_id").alias("width")), "__all").drop("__all")

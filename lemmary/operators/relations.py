@@ -322,10 +322,46 @@ ACTIVE: dict[str, Relation] = {
 INACTIVE: dict[str, Relation] = {"nn_prep": nn_prep, "noun_adj_prep_noun": noun_adj_prep_noun}
 
 
+#: What a sentence must hold for a relation to be looked for: parts of speech, and
+#: names of predicates without lemma in brackets.
+NEEDS: dict[str, tuple[str, ...]] = {
+    "subj_verb_dirobj": ("VB", "NN"),
+    "subj_verb_indirobj": ("VB", "NN"),
+    "subj_verb_instr": ("VB", "NN", "(instr)"),
+    "subj_verb": ("VB", "NN"),
+    "subj_verb_prep_compl": ("VB", "NN"),
+    "subj_verb_verb_prep_noun": ("VB", "PREP", "NN"),
+    "subj_verb_verb": ("VB", "NN"),
+    "noun_adj": ("NN", "ADJ"),
+    "noun_verb_adv": ("RB", "VB"),
+    "noun_equal_prep_noun": ("(equal)", "PREP", "NN"),
+    "nn": ("NN",),
+    "nnn": ("NN",),
+    "noun_equal_noun": ("(equal)", "NN"),
+    "noun_prep_noun": ("PREP", "NN"),
+    "compl": ("(compl)",),
+    "nn_prep": ("PREP", "NN"),
+    "noun_adj_prep_noun": ("ADJ", "PREP", "NN"),
+}
+
+
+def held(preds: Column) -> Column:
+    """The parts of speech and names of a sentence's predicates, as in ``NEEDS``."""
+    return F.array_distinct(F.transform(preds, lambda p: F.coalesce(p["pos"], F.concat(F.lit("("), p["extra"], F.lit(")")))))
+
+
+def _where_held(name: str, relation: Relation, tags: Column) -> Column:
+    """Matches of a relation; nothing is tried where the sentence lacks what it needs."""
+    found = relation(F.col("preds"))
+    needs = NEEDS.get(name, ()) if relation is {**ACTIVE, **INACTIVE}.get(name) else ()
+    return F.when(reduce(lambda a, b: a & b, [F.array_contains(tags, n) for n in needs]), found) if needs else found
+
+
 def extract_relation(parsed: DataFrame, name: str, relation: Relation | None = None) -> DataFrame:
     """``file, sid, rel, arg1 .. arg5`` of one relation, a row per match."""
     relation = relation or {**ACTIVE, **INACTIVE}[name]
-    matched = parsed.select("file", "sid", F.explode(relation(F.col("preds"))).alias("args"))
+    tagged = parsed.select("file", "sid", "preds", held(F.col("preds")).alias("tags"))
+    matched = tagged.select("file", "sid", F.explode(_where_held(name, relation, F.col("tags"))).alias("args"))
     return matched.select("file", "sid", F.lit(name).alias("rel"), *[F.coalesce(F.get("args", F.lit(i)), F.lit(ABSENT)).alias(f"arg{i + 1}") for i in range(5)])
 
 
@@ -334,8 +370,9 @@ def extract_triples(parsed: DataFrame, relations: dict[str, Relation] | None = N
     relations = ACTIVE if relations is None else relations
     if not relations:
         raise ValueError("no relation given")
-    found = F.array(*[F.struct(F.lit(name).alias("rel"), r(F.col("preds")).alias("matches")) for name, r in relations.items()])
-    matched = parsed.select("file", "sid", F.inline(found)).select("file", "sid", "rel", F.explode("matches").alias("args"))
+    tagged = parsed.select("file", "sid", "preds", held(F.col("preds")).alias("tags"))
+    found = F.array(*[F.struct(F.lit(name).alias("rel"), _where_held(name, r, F.col("tags")).alias("matches")) for name, r in relations.items()])
+    matched = tagged.select("file", "sid", F.inline(found)).select("file", "sid", "rel", F.explode("matches").alias("args"))
     return matched.select("file", "sid", "rel", *[F.coalesce(F.get("args", F.lit(i)), F.lit(ABSENT)).alias(f"arg{i + 1}") for i in range(5)])
 
 

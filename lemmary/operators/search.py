@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,9 +85,15 @@ def siblings(store: DataFrame, targets: DataFrame, strict: bool = False) -> Data
     return met.select("target", "tid", "kpos", "sibling_tid", "sibling", "sibling_args", "sibling_freq")
 
 
-def sentence_postings(parsed: DataFrame) -> DataFrame:
-    """``term, file, sid`` of the lemmas with a part of speech."""
-    words = F.array_distinct(F.transform(F.filter("preds", lambda p: p["pos"].isNotNull()), lambda p: p["lemma"]))
+def lemmas_of(preds: Column) -> Column:
+    """The terms of a sentence: lemmas with a part of speech."""
+    return F.transform(F.filter(preds, lambda p: p["pos"].isNotNull()), lambda p: p["lemma"])
+
+
+def sentence_postings(parsed: DataFrame, terms: Callable[[Column], Column] = lemmas_of) -> DataFrame:
+    """``term, file, sid`` of each sentence's distinct terms; ``terms`` makes them of its
+    predicates."""
+    words = F.array_distinct(terms(F.col("preds")))
     return parsed.select("file", "sid", F.explode(words).alias("term")).select("term", "file", "sid")
 
 

@@ -49,18 +49,22 @@ def find_sources(
         met = met.join(related, ["target", "kterm"], "left_anti")
     whole = F.col("mass") + F.col("s")
     met = met.withColumns({"ns": F.col("s") / whole, "nt": F.col("t") / whole})
+    met = materialise(met.select("target", F.col("kterm").alias("source"), "ns", "nt", "s", "t", "rel", "sargs"), "shared")
     told = F.sort_array(F.collect_list(F.struct("ns", "rel", "sargs")), asc=False)
-    scored = met.groupBy("target", F.col("kterm").alias("source")).agg(
+    scored = met.groupBy("target", "source").agg(
         F.sum("ns").alias("norm_source"),
         F.sum("nt").alias("norm_target"),
         F.count("*").alias("n"),
         F.sum("s").alias("src_freq"),
         (F.sum("t") - int(minus_one)).alias("tgt_freq"),
-        F.transform(told, lambda x: F.struct(x["rel"].alias("rel"), x["sargs"].alias("args"), x["ns"].alias("norm"))).alias("triples"),
     )
     best = Window.partitionBy("target").orderBy(*(order or [F.desc(F.round("norm_source", 9))]), "source")
     ranked = scored.withColumn("rank", F.row_number().over(best))
-    return ranked if k == 0 else ranked.where(F.col("rank") <= k)
+    # only those that are kept collect their triples
+    ranked = ranked if k == 0 else materialise(ranked.where(F.col("rank") <= k), "ranked")
+    kept = met if k == 0 else met.join(ranked.select("target", "source"), ["target", "source"], "left_semi")
+    triples = F.transform(told, lambda x: F.struct(x["rel"].alias("rel"), x["sargs"].alias("args"), x["ns"].alias("norm")))
+    return ranked.join(kept.groupBy("target", "source").agg(triples.alias("triples")), ["target", "source"])
 
 
 def target_stats(store: DataFrame, targets: DataFrame) -> DataFrame:
@@ -77,6 +81,7 @@ def term_triples_freq(store: DataFrame, targets: DataFrame, stop: DataFrame | No
 
 def source_line(df: DataFrame) -> DataFrame:
     """``target, rank, line``: ranked sources as tab-separated text."""
+    # fixed format of the text form
     one = lambda x: F.concat(F.lit("{"), F.array_join(x["args"], ";", "NONE"), F.lit(";"), F.format_string("%.6f", x["norm"]), F.lit("} "))
     text = F.format_string("%s\t%.8f\t%.8f\t%d\t%d\t%d\t%s", "source", "norm_source", "norm_target", "n", "src_freq", "tgt_freq", F.array_join(F.transform("triples", one), ""))
     return df.select("target", "rank", text.alias("line"))
@@ -86,6 +91,18 @@ def source_line(df: DataFrame) -> DataFrame:
 HEADER = "source\tsum_of_source_norm_freq\tsum_of_target_norm_freq\tnumber_of_triples\ttotal_pattern_source_triple_freq\ttotal_pattern_target_triple_freq\ttriples"
 
 
+def source_text(df: DataFrame) -> DataFrame:
+    """``target, rank, line``: the text form of every target, its header as rank 0."""
+    head = df.select("target").distinct().select("target", F.lit(0).alias("rank"), F.lit(HEADER).alias("line"))
+    return head.unionByName(source_line(df))
+
+
+def matrix_names(cells: DataFrame, by: str, row: str, column: str) -> tuple[DataFrame, DataFrame]:
+    """``by, id, name`` of a coordinate matrix's rows and of its columns."""
+    rows = cells.select(by, F.col("row_id").alias("id"), F.col(row).alias("name")).distinct()
+    return rows, cells.select(by, F.col("col_id").alias("id"), F.col(column).alias("name")).distinct()
+
+
 def source_matrix(sources: DataFrame, k: int = 0) -> DataFrame:
     """``target, row_id, source, col_id, pattern, value``: ranked sources by pattern.
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lemmary.functions.relations import SIGNATURES
 from lemmary.functions.terms import MARKERS
-from lemmary.runtime import is_small, materialise
+from lemmary.operators.grouped_join import join_stats
+from lemmary.runtime import is_small, materialise, maybe_broadcast
 
 
 def strip_pos(arg: Column) -> Column:
@@ -43,10 +44,19 @@ def postings(store: DataFrame) -> DataFrame:
     return store.select("tid", F.posexplode("args").alias("pos", "term")).where("term IS NOT NULL").select("term", "tid", "pos")
 
 
+#: Triple identifiers in one block of a posting list.
+BLOCK = 1 << 16
+
+
 def posting_lists(store: DataFrame) -> DataFrame:
-    """``term, plist``: each term's postings in order, as the index stores them."""
+    """``term, block, plist``: each term's postings in order, as the index stores them.
+
+    A list is cut into blocks of 65,536 identifiers, so one row holds as many triples
+    at most, however frequent its term is.
+    """
     listed = F.array_sort(F.collect_list(F.struct("tid", "pos")))
-    return postings(store).groupBy("term").agg(listed.alias("plist"))
+    blocked = postings(store).withColumn("block", F.floor(F.col("tid") / BLOCK))
+    return blocked.groupBy("term", "block").agg(listed.alias("plist"))
 
 
 def dictionary(counted: DataFrame) -> DataFrame:
@@ -69,32 +79,50 @@ def signature(rel: Column) -> Column:
     return F.element_at(F.create_map(*[x for name, s in SIGNATURES.items() for x in (F.lit(name), F.array(*map(F.lit, s)))]), rel)
 
 
-def dense_ids(terms: DataFrame) -> DataFrame:
-    """``term_id, term`` with dense identifiers from 0 in term order, for export.
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with dense numbers from 0 in the order of columns, as ``name``.
 
-    Ranks of range partitions are shifted by the counts of those before, so terms
+    Ranks of range partitions are shifted by the counts of those before, so rows
     are never sorted in one task.
     """
-    ranged = terms.select("term").repartitionByRange("term").sortWithinPartitions("term").withColumn("id", F.monotonically_increasing_id())
-    ranged = materialise(ranged, "dictionary").withColumn("range", F.shiftright("id", 33))
-    spans = ranged.groupBy("range").agg(F.min("id").alias("first"), F.count("*").alias("k"))  # a row per partition
-    before = F.coalesce(F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = spans.select("range", (before - F.col("first")).alias("shift"))
-    return ranged.join(F.broadcast(shift), "range").select((F.col("id") + F.col("shift")).alias("term_id"), "term")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    ranged = materialise(ranged, "numbered").withColumn("__range", F.shiftright("__id", 33))
+    spans = ranged.groupBy("__range").agg(F.min("__id").alias("first"), F.count("*").alias("k"))  # a row per partition
+    before = F.coalesce(F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = materialise(spans.select("__range", (before - F.col("first")).alias("__shift")), "shifts")
+    return ranged.join(maybe_broadcast(shift, 1_000_000), "__range").withColumn(name, F.col("__id") + F.col("__shift")).select(name, *df.columns)
+
+
+def dense_ids(terms: DataFrame) -> DataFrame:
+    """``term_id, term`` with dense identifiers from 0 in term order, for export."""
+    return numbered(terms.select("term"), ["term"], "term_id")
+
+
+def _recoded(store: DataFrame, column: str, ids: DataFrame, key: str, value: str, empty: Column) -> DataFrame:
+    """``tid`` and the arguments in ``column`` looked up in ``ids``. Empty slots meet
+    nothing, and a value that holds many slots is a heavy key."""
+    slots = materialise(store.select("tid", F.posexplode(column).alias("pos", key)).where(F.col(key).isNotNull() & (F.col(key) != empty)), "slots")
+    counts = slots.groupBy(key).agg(F.count("*").alias("n"))
+    stats = materialise(counts.join(ids.select(key, value), key), "codes")
+    coded = join_stats(slots, stats, [key], "n", slots.count())
+    return coded.groupBy("tid").agg(F.map_from_entries(F.collect_list(F.struct("pos", value))).alias("__held"))
+
+
+def _filled(column: str, missing: Column) -> Column:
+    """The slots of ``column`` from ``__held``, which has a row's few filled ones."""
+    return F.transform(F.col(column), lambda _, i: F.coalesce(F.try_element_at(F.col("__held"), i), missing))
 
 
 def encode_args(store: DataFrame, ids: DataFrame) -> DataFrame:
     """``tid, rel, stamp, freq``: arguments as identifiers, empty slots as -1."""
-    slots = store.select("tid", "rel", "freq", F.posexplode("args").alias("pos", "term"))
-    coded = slots.join(ids, "term", "left").withColumn("code", F.coalesce("term_id", F.lit(-1)))
-    return coded.groupBy("tid", "rel", "freq").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]).alias("stamp"))
+    coded = _recoded(store, "args", ids, "term", "term_id", F.lit("<NONE>"))
+    return store.join(coded, "tid", "left").select("tid", "rel", "freq", _filled("args", F.lit(-1).cast("bigint")).alias("stamp"))
 
 
 def decode_args(stamped: DataFrame, ids: DataFrame) -> DataFrame:
     """The inverse of :func:`encode_args`."""
-    slots = stamped.select("tid", "rel", "freq", F.posexplode("stamp").alias("pos", "term_id"))
-    named = slots.join(ids, "term_id", "left")
-    return named.groupBy("tid", "rel", "freq").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("args"))
+    named = _recoded(stamped, "stamp", ids, "term_id", "term", F.lit(-1))
+    return stamped.join(named, "tid", "left").select("tid", "rel", "freq", _filled("stamp", F.lit(None).cast("string")).alias("args"))
 
 
 class StopTerms:

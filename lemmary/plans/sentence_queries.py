@@ -58,7 +58,9 @@ def _form(word: str) -> str:
 
 
 def _built(spark: SparkSession, base: str) -> DataFrame:
-    once = table(spark, base, "triple").select("tid", "rel", "args").dropDuplicates(["tid"])
+    # extraction costs far more than its rows are long: all cores get some, whatever their bytes
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    once = table(spark, base, "triple").select("tid", "rel", "args").repartition(n, "tid").dropDuplicates(["tid"])
     line = F.regexp_replace(F.expr(_form("get(args, {i})")), "^ & ", "")
     lines = once.select(F.col("tid").alias("file"), F.lit(0).cast("bigint").alias("sid"), F.col("rel").alias("raw_text"), line.alias("line"))
     return LF.parse_sentences(lines)

@@ -111,8 +111,8 @@ def postings(spark, base):
 
 
 def posting_lists(spark, base):
-    coded = T.posting_lists(_store(spark, base)).select("term", codecs.encode_postings(F.col("plist")).alias("c"))
-    return coded.select("term", F.col("c.n").alias("n"), F.col("c.pos").alias("pos"), F.col("c.tid").alias("deltas"))
+    coded = T.posting_lists(_store(spark, base)).select("term", "block", codecs.encode_postings(F.col("plist")).alias("c"))
+    return coded.select("term", "block", F.col("c.n").alias("n"), F.col("c.pos").alias("pos"), F.col("c.tid").alias("deltas"))
 
 
 def posting_round_trip(spark, base):
@@ -374,7 +374,7 @@ ORACLE = {
     "build_store": _BASE + "SELECT tid, rel, args, freq FROM store",
     "postings": _BASE + "SELECT kterm AS term, tid, CAST(kpos AS INTEGER) AS pos FROM slots WHERE kterm IS NOT NULL",
     "posting_lists": _BASE
-    + ", o AS (SELECT kterm AS term, tid, kpos, tid - coalesce(lag(tid) OVER (PARTITION BY kterm ORDER BY tid, kpos), 0) AS d FROM slots WHERE kterm IS NOT NULL) SELECT term, CAST(count(*) AS INTEGER) AS n, list(CAST(kpos AS TINYINT) ORDER BY tid, kpos) AS pos, list(d ORDER BY tid, kpos) AS deltas FROM o GROUP BY term",
+    + ", o AS (SELECT kterm AS term, tid, kpos, CAST(floor(tid / 65536.0) AS BIGINT) AS block, tid - coalesce(lag(tid) OVER (PARTITION BY kterm, floor(tid / 65536.0) ORDER BY tid, kpos), 0) AS d FROM slots WHERE kterm IS NOT NULL) SELECT term, block, CAST(count(*) AS INTEGER) AS n, list(CAST(kpos AS TINYINT) ORDER BY tid, kpos) AS pos, list(d ORDER BY tid, kpos) AS deltas FROM o GROUP BY term, block",
     "posting_round_trip": _BASE + "SELECT kterm AS term, tid, CAST(kpos AS INTEGER) AS pos FROM slots WHERE kterm IS NOT NULL",
     "dictionary": _BASE + "SELECT term FROM dict",
     "dict_lookup": _BASE + "SELECT word, EXISTS (SELECT 1 FROM dict WHERE term = word) AS found FROM (SELECT unnest(['берег', 'no-such-term']) AS word)",

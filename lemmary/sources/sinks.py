@@ -36,13 +36,19 @@ def write_sentence_postings(postings: DataFrame, path: str) -> None:
 
 
 def match_line() -> Column:
-    """A matched sentence with its domain, words and text."""
+    """A matched sentence with its domain, words and text (fixed format)."""
     return F.format_string("[id:%d, domain:%s, source:%s, target:%s] \n %s\n", "sid", "domain", "source", "target", F.coalesce("raw_text", F.lit("")))
 
 
 def write_encoded(df: DataFrame, text: str, path: str, charset: str = "UTF-8") -> None:
-    """Lines of ``text`` in another character set, one file a partition."""
-    df.select(F.col(text).alias("value")).write.option("encoding", charset).csv(path, quote="", escape="", sep="\x00", header=False, encoding=charset)
+    """Lines of ``text`` in another character set, one file a partition.
+
+    The bytes of each line and of the line end are written as they are, so the
+    character set must write a line end without a byte order mark (``UTF-16BE``, not
+    ``UTF-16``).
+    """
+    end = "\n".encode(charset).decode("utf-8")
+    df.select(F.encode(F.col(text), charset).cast("string").alias("value")).write.option("lineSep", end).text(path)
 
 
 def write_chunks(chunked: DataFrame, path: str) -> None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,16 +43,37 @@ def merged_counts(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("rel", *ARGS).agg(F.sum("freq").alias("freq"))
 
 
-def append_sentences(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def crawl(files: DataFrame, pairs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Sentences of a stream of ``file, text`` that connect a source with a target of
+    ``pairs`` (``label, source, target``), in a folder for each batch."""
+    from lemmary.operators.metaphor import find_connected
+    from lemmary.sources.logical_form import lines_of_texts, parse_sentences, scan_sentences
+
+    def write(batch: DataFrame, number: int) -> None:
+        parsed = parse_sentences(scan_sentences(lines_of_texts(batch, "file", "text")))
+        find_connected(parsed, pairs).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_sentences(
+    lines: DataFrame,
+    out: str,
+    checkpoint: str,
+    terms: Callable[[Column], Column] | None = None,
+    stored: Callable[[DataFrame], DataFrame] | None = None,
+) -> StreamingQuery:
     """Extends a sentence index by the files of a stream of ``file, text``: postings
     and sentences go to folders of the batch; identifiers are (file, sid), so none
-    has to be handed on between batches."""
-    from lemmary.operators.search import sentence_postings
+    has to be handed on between batches. ``terms`` makes the terms of a sentence's
+    predicates, ``stored`` the form in which parsed sentences are kept."""
+    from lemmary.operators.search import lemmas_of, sentence_postings
     from lemmary.sources.logical_form import lines_of_texts, parse_sentences, scan_sentences
 
     def write(batch: DataFrame, number: int) -> None:
         parsed = parse_sentences(scan_sentences(lines_of_texts(batch, "file", "text")))
-        parsed.select("file", "sid", "raw_text", "line").write.mode("overwrite").parquet(f"{out}/sentences/batch={number}")
-        sentence_postings(parsed).write.mode("overwrite").parquet(f"{out}/postings/batch={number}")
+        kept = stored(parsed) if stored else parsed.select("file", "sid", "raw_text", "line")
+        kept.write.mode("overwrite").parquet(f"{out}/sentences/batch={number}")
+        sentence_postings(parsed, terms or lemmas_of).write.mode("overwrite").parquet(f"{out}/postings/batch={number}")
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

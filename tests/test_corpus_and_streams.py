@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from lemmary.operators.corpus import combine, reduce_lines, sentence_ends, split_corpus
+from lemmary.operators.corpus import FORMATS, combine, reduce_lines, sentence_ends, split_corpus
 from lemmary.operators.relations import fold_triples
 from lemmary.runtime import is_small, materialise, maybe_broadcast, shared_dir
 from lemmary.sources.sinks import triple_line, write_chunks, write_encoded, write_lines, write_postings, write_store
-from lemmary.streaming.triples import append_counts, append_sentences, merged_counts, running_counts, stream_table
+from lemmary.streaming.triples import append_counts, append_sentences, crawl, merged_counts, running_counts, stream_table
 
 TRIPLE = "rel string, arg1 string, arg2 string, arg3 string, arg4 string, arg5 string, freq bigint"
 
@@ -83,6 +83,31 @@ def test_growing_sentence_index(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out/postings")).where("term = 'a'").count() == 2 * (i + 1)
 
 
+def test_crawl_and_plug_ins(spark, tmp_path):
+    """Batches of a stream are searched for connected words; terms and stored form are given."""
+    text = "% t\n[1]:wind-nn(e1,x1) & [2]:carry-vb(e2,x1,x3) & [3]:boat-nn(e3,x3)\n[1]:wind-nn(e1,x1) & [2]:boat-nn(e2,x2)"
+    pairs = spark.createDataFrame([("d", "wind", "boat")], "label string, source string, target string")
+    for i in range(2):
+        spark.createDataFrame([(f"f{i}", text)], "file string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        crawl(stream_table(spark, str(tmp_path / "in")), pairs, str(tmp_path / "found"), str(tmp_path / "cp")).awaitTermination()
+        assert sorted((x.file, x.sid) for x in spark.read.parquet(str(tmp_path / "found")).collect()) == [(f"f{j}", 0) for j in range(i + 1)]
+    tagged = lambda preds: F.transform(preds, lambda p: F.concat(p["lemma"], F.lit("/"), p["pos"]))
+    append_sentences(stream_table(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp2"), tagged, lambda p: p.select("file", "sid")).awaitTermination()
+    assert {x.term for x in spark.read.parquet(str(tmp_path / "out/postings")).collect()} == {"wind/NN", "carry/VB", "boat/NN"}
+    assert set(spark.read.parquet(str(tmp_path / "out/sentences")).columns) == {"file", "sid", "batch"}
+
+
+def test_encoded_lines_are_kept_as_they_are(spark, tmp_path):
+    rows = ["", "  blanks  ", 'a "quote", and\\', "tab\tin"]
+    write_encoded(spark.createDataFrame([(x,) for x in rows], "t string").coalesce(1), "t", str(tmp_path / "e"))
+    assert [f.read_text(encoding="utf-8") for f in (tmp_path / "e").glob("part-*")] == ["".join(x + "\n" for x in rows)]
+
+
+def test_other_formats_can_be_added(spark, monkeypatch):
+    monkeypatch.setitem(FORMATS, "dots", lambda df: df.withColumns({"ends": F.when(F.col("line") == ".", "after"), "out": F.col("line")}))
+    assert {x.chunk for x in split_corpus(lines(spark, "aa", "b", ".", "c", "d", "."), 2, "dots").collect()} == {1, 2}
+
+
 def test_runtime(spark):
     df = spark.range(10)
     assert materialise(df, "x").count() == 10 and is_small(df, 10) and not is_small(df, 9)
