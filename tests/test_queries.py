@@ -41,10 +41,12 @@ def test_query(spark, base, duck, name):
     got = QUERIES[name](spark, base).toPandas()
     if name in ORACLE:
         assert rows(got) == rows(duck.execute(ORACLE[name]).df())
-    else:
-        assert len(got.columns)
+    else:  # what the rows are is tested beside the operator
+        assert len(got)
 
 
 def test_entry(spark, base):
     assert set(ORACLE) <= set(QUERIES)
-    assert entry.entry(spark).schema == entry.entry(spark).schema
+    flagship = entry.entry(spark)
+    kinds = {"target": "string", "rank": "int", "source": "string", "norm_source": "double", "norm_target": "double", "n": "bigint", "src_freq": "bigint", "tgt_freq": "bigint"}
+    assert dict(flagship.dtypes) == kinds and flagship.count() > 0
